@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, decontamination, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from ._common import table
 
 
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
+        "op7_url_filter": op7_url_filter,
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
@@ -52,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": url_filter.ORACLE_SQL}
