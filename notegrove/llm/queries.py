@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from . import bpe, decontamination, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from ._common import table
 
 
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), near_dedup.Likeness(words=3, percent=85))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
+        "op5_near_dedup": op5_near_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
