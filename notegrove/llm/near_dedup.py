@@ -25,10 +25,8 @@ from ._common import small_batches, written
 COORDINATES = 32
 #: Chance at most that two sets of just the linked similarity agree in fewer coordinates than asked for.
 MISSED = 1e-6
-#: Members of a list that one task compares with as many others.
-BLOCK = 256
-#: Pairs with the same first text that one task confirms.
-STAR = 512
+#: Members of a list that a task compares with as many others, and shingles that their sets hold together.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -91,7 +89,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, set_id (16 bytes; null for an empty set), posts (the coordinates' values, each marked with its
-    coordinate) and brief (16 bits of each) of every whole text."""
+    coordinate) and brief (32 bits of each) of every whole text."""
     small_batches(docs.sparkSession)
     words, coordinate = like.words, np.arange(COORDINATES, dtype=np.uint64)
 
@@ -107,7 +105,7 @@ def signed(docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
                 least = signature(h)
                 ids.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 posts.append(((least >> np.uint64(16)) << np.uint64(6) | coordinate).astype(np.int64))
-                briefs.append((least >> np.uint64(20)).astype("<u2").tobytes())
+                briefs.append((least >> np.uint64(20)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(briefs, pa.binary())],
                 names=["doc_id", "n_shingles", "set_id", "posts", "brief"],
@@ -118,25 +116,57 @@ def signed(docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
 
 
 def posted(classes: DataFrame, like: Likeness) -> DataFrame:
-    """one (class id), n, brief, weight and prefix of the classes that can have a partner. prefix: the values, among the
-    rarest of the signature, that other classes have too. weight: how many classes share its values in all."""
+    """one (class id), n, brief, weight, prefix, inside and block of the classes that can have a partner. prefix: the values,
+    among the rarest of the signature, that other classes have too; inside marks their coordinates. weight: how many classes
+    share its values in all. block: classes whose most common value is the same, BLOCK of them at most or so."""
     values = classes.select("one", F.explode("posts").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("classes")).filter("classes > 1")
     by_class = values.join(shared, "value").groupBy("one").agg(F.array_sort(F.collect_list(F.struct("classes", "value"))).alias("common"))
     prefix = COORDINATES - like.least + 1
     short = F.lit(prefix - COORDINATES) + F.size("common")  # values that only this class has come first in its prefix
     kept = by_class.select("one", short.alias("short"), "common").filter("short > 0").selectExpr(
-        "one", "aggregate(common, 0L, (a, c) -> a + c.classes) as weight", "transform(slice(common, 1, short), c -> c.value) as prefix"
+        "one", "aggregate(common, 0L, (a, c) -> a + c.classes) as weight", "transform(slice(common, 1, short), c -> c.value) as prefix", "element_at(common, -1) as home"
+    )
+    both = kept.join(classes.select("one", "n", "brief"), "one").withColumn(
+        "blocks", F.ceil(F.expr(f"home.classes * greatest(1 / {BLOCK}D, n / {BLOCK_SHINGLES}D)"))
+    )
+    return both.selectExpr(
+        "one", "n", "brief", "weight", "prefix", "aggregate(prefix, 0L, (a, v) -> a | shiftleft(1L, cast(v & 63 as int))) as inside",
+        "xxhash64(home.value, blocks, pmod(xxhash64(one), blocks)) as block",
     )
-    return kept.join(classes.select("one", "n", "brief"), "one")
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
+def _runs(batches, keys: int):
+    """Rows with equal first columns, out of batches sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        changed = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist()] if batch.num_rows else []
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(c[start] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
+    pairs = pairs.reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["one", "two"])
+
+
 def _briefs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
 
 
 def star_pairs(posts: DataFrame, like: Likeness) -> DataFrame:
@@ -159,65 +189,90 @@ def block_pairs(posts: DataFrame, component: DataFrame, like: Likeness) -> DataF
     """Pairs of members of one list that are in different components and agree in enough coordinates. A long list is dealt
     into blocks of about BLOCK members, and each two blocks are compared by one task."""
     lists = posts.join(component, "one", "left").select(
-        F.explode("prefix").alias("value"), "one", "n", "brief", F.coalesce("component", "one").alias("component")
+        F.explode("prefix").alias("value"), "one", "n", "brief", "inside", F.coalesce("component", "one").alias("component")
     )
     open_lists = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_lists = open_lists.filter("low <> high").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     dealt = lists.join(open_lists, "value").selectExpr("*", "cast(pmod(xxhash64(one), blocks) as int) as own")
     # block k meets each block: the lower number first
     met = dealt.selectExpr("*", "explode(sequence(0, blocks - 1)) as k").selectExpr(
-        "value", "one", "n", "brief", "component", "own", "least(own, k) as first", "greatest(own, k) as second"
+        "value", "least(own, k) as first", "greatest(own, k) as second", "own", "one", "n", "component", "inside", "brief"
     )
     ratio, least = like.percent, like.least
+    bits = np.left_shift(1, np.arange(COORDINATES, dtype=np.int64))
 
-    def compare(group: pa.Table) -> pa.Table:
-        one, n, component = (group.column(c).to_numpy() for c in ("one", "n", "component"))
-        brief = _briefs(group.column("brief"))
-        own, first = group.column("own").to_numpy(), group.column("first")[0].as_py()
-        left, out = np.flatnonzero(own == first), []
-        right = left if group.column("second")[0].as_py() == first else np.flatnonzero(own != first)
-        for i in left:
-            to = right[component[right] != component[i]]
-            to = to[(100 * np.minimum(n[to], n[i]) >= ratio * np.maximum(n[to], n[i]))]
-            to = to[_agreeing(brief[to], brief[i]) >= least]
-            out += [(min(one[i], one[j]), max(one[i], one[j])) for j in to]
-        pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-        return pa.table({"one": pairs[:, 0], "two": pairs[:, 1]})
-
-    columns = met.select("value", "first", "second", "own", "one", "n", "brief", "component")
-    return columns.groupBy("value", "first", "second").applyInArrow(compare, "one long, two long").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
-    """The pairs whose full shingle sets are linked. The second text of a pair is set once for at most STAR first ones, and
-    rows stream past it in order: a task holds two sets."""
-    spark = docs.sparkSession
-    size = pairs.groupBy("two").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    dealt = pairs.join(size, "two").selectExpr("one", "two", "cast(pmod(xxhash64(one), parts) as int) as part", "parts")
-    asked = dealt.selectExpr("one as doc_id", "two as star", "part", "one").unionByName(
-        size.selectExpr("two as doc_id", "two as star", "explode(sequence(0, parts - 1)) as part", "cast(null as bigint) as one")
-    )
+    def run(batches):
+        for group in _runs(batches, 3):
+            value, first, second, own, one, n, component, inside = (c.to_numpy() for c in group.columns[:8])
+            brief, here = _briefs(group.column("brief")), 1 << int(value[0] & 63)
+            left, out = np.flatnonzero(own == first), []
+            right = left if first[0] == second[0] else np.flatnonzero(own != first)
+            for i in left:
+                to = right[(component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= ratio * np.maximum(n[right], n[i]))]
+                to = to[to > i] if right is left else to
+                alike = brief[to] == brief[i]
+                # a pair that shares several lists comes out of that of its first coordinate
+                shared = (alike @ bits) & inside[to] & inside[i]
+                to = to[(alike.sum(axis=1) >= least) & ((shared & -shared) == here)]
+                out.append(np.column_stack([np.minimum(one[to], one[i]), np.maximum(one[to], one[i])]))
+            yield _pairs(np.concatenate(out) if out else np.zeros((0, 2), np.int64))
+
+    keys = ["value", "first", "second"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "one long, two long")
+
+
+def confirmed(pairs: DataFrame, posts: DataFrame, docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
+    """The pairs whose full shingle sets are linked. Pairs are dealt by the blocks of both members: a task holds the sets of
+    two blocks at a time, made from the whole texts."""
+    one, two = (posts.select(F.col("one").alias(c), F.col("block").alias(f"block_{c}")) for c in ("one", "two"))
+    dealt = pairs.join(one, "one").join(two, "two").select(F.xxhash64("block_one", "block_two").alias("key"), "one", "two")
+    dealt = written(dealt, "dedup-dealt")
+    members = dealt.select("key", F.explode(F.array("one", "two")).alias("doc_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"cast(`{text}` as string) as text")
-    rows = asked.hint("shuffle_hash").join(texts, "doc_id").select("star", "part", "one", "text")
-    sorted_rows = rows.repartition(F.col("star"), F.col("part")).sortWithinPartitions("star", "part", F.col("one").asc_nulls_first())
+    # both kinds of row of a key: the members' texts, then the pairs
+    rows = members.hint("shuffle_hash").join(texts, "doc_id").selectExpr("key", "0 as kind", "doc_id as one", "0L as two", "text")
+    rows = rows.unionByName(dealt.selectExpr("key", "1 as kind", "one", "two", "cast(null as string) as text"))
     words = like.words
-    small_batches(spark)
+    small_batches(docs.sparkSession)
 
     def run(batches):
-        at, centre = None, None
-        for batch in batches:
-            good = []
-            for star, part, one, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if one is None:
-                    at, centre = (star, part), shingles(t, words)
-                elif at == (star, part):
-                    own = shingles(t, words)
-                    both = len(np.intersect1d(own, centre, assume_unique=True))
-                    if like.linked(len(own), len(centre), both):
-                        good.append((one, star))
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["one", "two"])
-
-    return sorted_rows.mapInArrow(run, "one long, two long")
+        for group in _runs(batches, 1):
+            kind, one, two = (group.column(c).to_numpy() for c in ("kind", "one", "two"))
+            asked = kind == 1
+            own = np.flatnonzero(~asked)
+            texts = group.column("text").take(pa.array(own)).to_pylist()
+            place = {int(d): k for k, d in enumerate(one[own])}
+            sets = [shingles(t, words) for t in texts]
+            pairs = np.column_stack([one[asked], two[asked]])
+            at = np.array([(place[int(a)], place[int(b)]) for a, b in pairs], np.int64).reshape(-1, 2)
+            both = _common(sets, at)
+            size = np.array([len(x) for x in sets])
+            n = size[at].sum(axis=1)
+            yield _pairs(pairs[100 * both >= like.percent * (n - both)])
+
+    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "one long, two long")
+
+
+def _common(sets: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs of sets: one by one where they are few, else as a product of the table that
+    says which set holds which element, over the elements that two sets or more hold."""
+    if len(at) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in at], np.int64)
+    _, element, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = holders > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[element]
+    who, element = who[keep], number[element[keep]]
+    order = np.argsort(element, kind="stable")
+    who, element = who[order], element[order]
+    product = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(shared.sum()), 8192):
+        a, b = np.searchsorted(element, [start, start + 8192])
+        held = np.zeros((len(sets), 8192), np.float32)
+        held[who[a:b], element[a:b] - start] = 1
+        product += held @ held.T
+    return product[at[:, 0], at[:, 1]].round().astype(np.int64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,11 +300,11 @@ def group(docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
     first = every.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "posts", "brief")).alias("c"))
     classes = written(first.selectExpr("set_id", "c.doc_id as one", "c.n_shingles as n", "c.posts", "c.brief"), "dedup-classes")
     posts = written(posted(classes, like), "dedup-posts")
-    links = written(confirmed(written(star_pairs(posts, like), "dedup-pairs"), docs, like, text), "dedup-links")
+    links = written(confirmed(star_pairs(posts, like), posts, docs, like, text), "dedup-links")
     component = components(links)
     rest = written(block_pairs(posts, component, like), "dedup-pairs")
     if not rest.isEmpty():
-        component = components(links.unionByName(written(confirmed(rest, docs, like, text), "dedup-links")))
+        component = components(links.unionByName(written(confirmed(rest, posts, docs, like, text), "dedup-links")))
     by_set = classes.join(component, "one", "left").select("set_id", F.coalesce("component", "one").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
