@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ._common import small_batches
 
 #: Labelled rows of each label that the chain is fitted on, at most: those first by a hash of doc_id.
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 #: Signs that a model looks at, and the share of texts (three at least) that must have a sign: the words of one text and
 #: its near copies tell nothing.
 VOCABULARY, LEAST_SHARE = 1000, 1 / 300
@@ -89,11 +89,10 @@ class Chain:
         if len({*toxic}) < 2:
             return None
         bags = [words_of(texts[i]) for i in rows]
-        signs = [signs_of(bag) for bag in bags]
-        vocabulary = cls._telling(signs, toxic)
+        vocabulary = cls._telling(bags, toxic)
         x = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for i, bag in enumerate(signs):
-            x[i, [vocabulary[w] for w in bag & vocabulary.keys()]] = 1
+        for i, bag in enumerate(bags):
+            x[i, [vocabulary[w] for w in signs_of(bag) & vocabulary.keys()]] = 1
         goals = [toxic * np.array([bool(bag.intersection(SEEDS[c])) for bag in bags]) for c in SEEDS] + [toxic]
         # by text, so that near equal sizes and no order of rows matter
         fold = np.argsort(np.argsort([hash_text(texts[i]) for i in rows])) % FOLDS
@@ -112,14 +111,14 @@ class Chain:
     @staticmethod
     def _telling(bags: list[set[str]], toxic: np.ndarray) -> dict[str, int]:
         """The signs whose share of toxic texts differs most from the share among all, by a z score."""
-        seen: dict[str, list[float]] = {}
+        n, hits = Counter(), Counter()  # the signs of one text at a time: those of all don't fit in a driver
         for bag, y in zip(bags, toxic, strict=True):
-            for w in bag:
-                count = seen.setdefault(w, [0.0, 0.0])
-                count[0] += 1
-                count[1] += y
+            signs = signs_of(bag)
+            n.update(signs)
+            if y:
+                hits.update(signs)
         p, least = toxic.mean(), max(3, LEAST_SHARE * len(bags))
-        z = {w: abs(hits - n * p) / np.sqrt(n * p * (1 - p)) for w, (n, hits) in seen.items() if n >= least}
+        z = {w: abs(hits[w] - k * p) / np.sqrt(k * p * (1 - p)) for w, k in n.items() if k >= least}
         return {w: i for i, w in enumerate(sorted(z, key=lambda w: (-z[w], w))[:VOCABULARY])}
 
     def _columns(self, word: str) -> tuple[list[int], tuple[str, ...]] | tuple[()]:
