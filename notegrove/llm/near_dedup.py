@@ -140,7 +140,7 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1)
 
 
-def _runs(batches, keys: int):
+def runs(batches, keys: int):
     """Rows with equal first columns, out of batches sorted by them."""
     held, last = [], None
     for batch in batches:
@@ -202,7 +202,7 @@ def block_pairs(posts: DataFrame, component: DataFrame, like: Likeness) -> DataF
     bits = np.left_shift(1, np.arange(COORDINATES, dtype=np.int64))
 
     def run(batches):
-        for group in _runs(batches, 3):
+        for group in runs(batches, 3):
             value, first, second, own, one, n, component, inside = (c.to_numpy() for c in group.columns[:8])
             brief, here = _briefs(group.column("brief")), 1 << int(value[0] & 63)
             left, out = np.flatnonzero(own == first), []
@@ -236,7 +236,7 @@ def confirmed(pairs: DataFrame, posts: DataFrame, docs: DataFrame, like: Likenes
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for group in _runs(batches, 1):
+        for group in runs(batches, 1):
             kind, one, two = (group.column(c).to_numpy() for c in ("kind", "one", "two"))
             asked = kind == 1
             own = np.flatnonzero(~asked)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from . import bpe, decontamination, line_dedup, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 from ._common import table
 
 
@@ -31,6 +32,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), near_dedup.Likeness(words=3, percent=85))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -54,10 +59,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
         "op5_near_dedup": op5_near_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
+        "pipeline": corpus_pipeline.run,
     }
 
 
