@@ -185,27 +185,28 @@ def star_pairs(posts: DataFrame, like: Likeness) -> DataFrame:
     return pairs.select("one", "two", "brief", "other").mapInArrow(run, "one long, two long").distinct()
 
 
-def block_pairs(posts: DataFrame, component: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of members of one list that are in different components and agree in enough coordinates. A long list is dealt
-    into blocks of about BLOCK members, and each two blocks are compared by one task."""
+def open_groups(posts: DataFrame, component: DataFrame, like: Likeness) -> DataFrame:
+    """key and one: for each two blocks of classes, those members that share a list with a member of another component and
+    agree with it in enough coordinates. A long list is dealt into parts of about BLOCK members, and each two parts are
+    compared by one task. Members are named, not pairs: there may be far more of these."""
     lists = posts.join(component, "one", "left").select(
-        F.explode("prefix").alias("value"), "one", "n", "brief", "inside", F.coalesce("component", "one").alias("component")
+        F.explode("prefix").alias("value"), "one", "n", "brief", "inside", "block", F.coalesce("component", "one").alias("component")
     )
     open_lists = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_lists = open_lists.filter("low <> high").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     dealt = lists.join(open_lists, "value").selectExpr("*", "cast(pmod(xxhash64(one), blocks) as int) as own")
     # block k meets each block: the lower number first
     met = dealt.selectExpr("*", "explode(sequence(0, blocks - 1)) as k").selectExpr(
-        "value", "least(own, k) as first", "greatest(own, k) as second", "own", "one", "n", "component", "inside", "brief"
+        "value", "least(own, k) as first", "greatest(own, k) as second", "own", "one", "n", "component", "inside", "block", "brief"
     )
     ratio, least = like.percent, like.least
     bits = np.left_shift(1, np.arange(COORDINATES, dtype=np.int64))
 
     def run(batches):
         for group in runs(batches, 3):
-            value, first, second, own, one, n, component, inside = (c.to_numpy() for c in group.columns[:8])
+            value, first, second, own, one, n, component, inside, block = (c.to_numpy() for c in group.columns[:9])
             brief, here = _briefs(group.column("brief")), 1 << int(value[0] & 63)
-            left, out = np.flatnonzero(own == first), []
+            left, pairs = np.flatnonzero(own == first), [np.zeros((0, 2), np.int64)]
             right = left if first[0] == second[0] else np.flatnonzero(own != first)
             for i in left:
                 to = right[(component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= ratio * np.maximum(n[right], n[i]))]
@@ -214,43 +215,66 @@ def block_pairs(posts: DataFrame, component: DataFrame, like: Likeness) -> DataF
                 # a pair that shares several lists comes out of that of its first coordinate
                 shared = (alike @ bits) & inside[to] & inside[i]
                 to = to[(alike.sum(axis=1) >= least) & ((shared & -shared) == here)]
-                out.append(np.column_stack([np.minimum(one[to], one[i]), np.maximum(one[to], one[i])]))
-            yield _pairs(np.concatenate(out) if out else np.zeros((0, 2), np.int64))
+                pairs.append(np.column_stack([np.full(len(to), i), to]))
+            at = np.concatenate(pairs)
+            blocks = np.sort(block[at], axis=1)
+            found, which = np.unique(blocks, axis=0, return_inverse=True)
+            members = [np.unique(one[at[which.ravel() == k]]) for k in range(len(found))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["low", "high", "members"]
+            )
 
     keys = ["value", "first", "second"]
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "one long, two long")
+    groups = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "low long, high long, members array<long>")
+    whole = groups.groupBy("low", "high").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members"))
+    return whole.select(F.xxhash64("low", "high").alias("key"), F.explode("members").alias("one"))
 
 
-def confirmed(pairs: DataFrame, posts: DataFrame, docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
-    """The pairs whose full shingle sets are linked. Pairs are dealt by the blocks of both members: a task holds the sets of
-    two blocks at a time, made from the whole texts."""
+def paired_groups(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+    """key and one of the members of the pairs, by the blocks of both."""
     one, two = (posts.select(F.col("one").alias(c), F.col("block").alias(f"block_{c}")) for c in ("one", "two"))
-    dealt = pairs.join(one, "one").join(two, "two").select(F.xxhash64("block_one", "block_two").alias("key"), "one", "two")
-    dealt = written(dealt, "dedup-dealt")
-    members = dealt.select("key", F.explode(F.array("one", "two")).alias("doc_id")).distinct()
-    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"cast(`{text}` as string) as text")
-    # both kinds of row of a key: the members' texts, then the pairs
-    rows = members.hint("shuffle_hash").join(texts, "doc_id").selectExpr("key", "0 as kind", "doc_id as one", "0L as two", "text")
-    rows = rows.unionByName(dealt.selectExpr("key", "1 as kind", "one", "two", "cast(null as string) as text"))
+    low, high = F.least("block_one", "block_two"), F.greatest("block_one", "block_two")
+    dealt = pairs.join(one, "one").join(two, "two").select(F.xxhash64(low, high).alias("key"), F.explode(F.array("one", "two")).alias("one"))
+    return dealt.distinct()
+
+
+def confirmed(groups: DataFrame, docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
+    """Links (one, two) that join what is linked within each group (key, one): a task makes the full shingle sets of a group,
+    two blocks at most, from the whole texts and compares them all; of the links found it names as many as join the
+    members."""
+    texts = docs.selectExpr("cast(doc_id as bigint) as one", f"cast(`{text}` as string) as text")
+    rows = groups.hint("shuffle_hash").join(texts, "one").select("key", "one", "text")
     words = like.words
     small_batches(docs.sparkSession)
 
     def run(batches):
         for group in runs(batches, 1):
-            kind, one, two = (group.column(c).to_numpy() for c in ("kind", "one", "two"))
-            asked = kind == 1
-            own = np.flatnonzero(~asked)
-            texts = group.column("text").take(pa.array(own)).to_pylist()
-            place = {int(d): k for k, d in enumerate(one[own])}
-            sets = [shingles(t, words) for t in texts]
-            pairs = np.column_stack([one[asked], two[asked]])
-            at = np.array([(place[int(a)], place[int(b)]) for a, b in pairs], np.int64).reshape(-1, 2)
-            both = _common(sets, at)
+            members = dict(zip(group.column("one").to_pylist(), group.column("text").to_pylist(), strict=True))
+            one = np.array(list(members), np.int64)
+            sets = [shingles(t, words) for t in members.values()]
+            at = np.column_stack(np.triu_indices(len(sets), 1))
             size = np.array([len(x) for x in sets])
             n = size[at].sum(axis=1)
-            yield _pairs(pairs[100 * both >= like.percent * (n - both)])
+            near = 100 * size[at].min(axis=1) >= like.percent * size[at].max(axis=1)
+            at, n = at[near], n[near]
+            both = _common(sets, at)
+            yield _pairs(one[_forest(at[100 * both >= like.percent * (n - both)], len(sets))])
+
+    return rows.repartition("key").sortWithinPartitions("key", "one").mapInArrow(run, "one long, two long")
+
 
-    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "one long, two long")
+def _forest(links: np.ndarray, n: int) -> np.ndarray:
+    """As many of the links as join what all of them join."""
+    root, out = list(range(n)), []
+    for k, (a, b) in enumerate(links.tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(k)
+    return links[out]
 
 
 def _common(sets: list[np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -300,11 +324,11 @@ def group(docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
     first = every.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "posts", "brief")).alias("c"))
     classes = written(first.selectExpr("set_id", "c.doc_id as one", "c.n_shingles as n", "c.posts", "c.brief"), "dedup-classes")
     posts = written(posted(classes, like), "dedup-posts")
-    links = written(confirmed(star_pairs(posts, like), posts, docs, like, text), "dedup-links")
+    links = written(confirmed(written(paired_groups(star_pairs(posts, like), posts), "dedup-groups"), docs, like, text), "dedup-links")
     component = components(links)
-    rest = written(block_pairs(posts, component, like), "dedup-pairs")
+    rest = written(open_groups(posts, component, like), "dedup-groups")
     if not rest.isEmpty():
-        component = components(links.unionByName(written(confirmed(rest, posts, docs, like, text), "dedup-links")))
+        component = components(links.unionByName(written(confirmed(rest, docs, like, text), "dedup-links")))
     by_set = classes.join(component, "one", "left").select("set_id", F.coalesce("component", "one").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
