@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 import uuid
@@ -35,6 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    # what the stages behind the table have shuffled is deleted once nothing on the driver refers to it
+    gc.collect()
+    jvm.System.gc()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -84,8 +84,8 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 def lines_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc, line, set_id, n (different words), prefix (hashes of the rarest words, the rarest first) and parity of every line
-    with LEAST_WORDS words or more."""
+    """doc, line, set_id, n (different words), prefix (32 bits of the hashes of the rarest words, the rarest first) and parity
+    (63 bits) of every line with LEAST_WORDS words or more. Two words with one key share a list, no more."""
 
     def run(batches):
         for batch in batches:
@@ -104,59 +104,49 @@ def lines_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if not len(start):
                 continue
             ids = np.column_stack([np.add.reduceat((hashes ^ (hashes >> np.uint64(29))) * m ^ (hashes >> np.uint64(k)), start) for m, k in zip(_MIX, (31, 27), strict=True)])
-            bit = np.left_shift(np.uint64(1), hashes & np.uint64(63))
-            high = (hashes >> np.uint64(6)) & np.uint64(1) == 1
-            parity = np.column_stack([np.bitwise_xor.reduceat(np.where(high == h, bit, np.uint64(0)), start) for h in (False, True)])
+            parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (hashes >> np.uint64(32)) % np.uint64(63)), start).astype(np.int64)
             size = n - -(-PERCENT * n // 100) + 1
             place = np.arange(len(hashes)) - np.repeat(start, n)
             inside = place < np.repeat(size, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(hashes[inside].astype(np.int64)))
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(hashes[inside].astype(np.uint32).view(np.int32)))
             enough = pa.array(n >= LEAST_WORDS)
             doc = batch.column(0).take(pa.array(text[line[start]]))
-            columns = [doc, pa.array(number[line[start]]), _fixed(ids), pa.array(n), prefix, _fixed(parity)]
+            columns = [doc, pa.array(number[line[start]].astype(np.int32)), _fixed(ids), pa.array(n.astype(np.int32)), prefix, pa.array(parity)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "set_id", "n", "prefix", "parity"]).filter(enough)
 
-    return docs.mapInArrow(run, "doc long, line long, set_id binary, n long, prefix array<long>, parity binary")
+    return docs.mapInArrow(run, "doc long, line int, set_id binary, n int, prefix array<int>, parity long")
 
 
-def candidates(classes: DataFrame, open_sets: DataFrame | None = None) -> DataFrame:
-    """Pairs (early, late) of classes that the filters leave, each with early's first place. For each list and block without
-    open_sets only late's earliest partner; with open_sets every partner of the classes in it."""
-    posts = classes.select("set_id", "doc", "line", "n", "parity", F.posexplode("prefix").alias("place", "word"))
-    lists = posts.groupBy("word").agg(F.count("*").alias("members")).filter("members > 1")
+def candidates(classes: DataFrame, open_places: DataFrame | None = None) -> DataFrame:
+    """Pairs of classes, by their first places (doc, line) and (late_doc, late_line), that the filters leave. Without open_places
+    only a class's earliest partner in each list; with open_places (late_doc, late_line) every partner of those."""
+    posts = classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("place", "word"))
+    lists = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("members")).filter("members > 1")
     lists = lists.select("word", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    if open_sets is not None:
-        posts = posts.join(open_sets.withColumn("is_open", F.lit(True)), "set_id", "left")
-        posts = posts.withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-        lists = lists.join(posts.filter("is_open").select("word").distinct(), "word")
+    if open_places is not None:
+        mine = open_places.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"), F.lit(True).alias("is_open"))
+        posts = posts.join(mine, ["doc", "line"], "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+        lists = lists.join(classes.join(mine, ["doc", "line"]).select(F.explode("prefix").alias("word")).distinct(), "word")
     else:
         posts = posts.withColumn("is_open", F.lit(True))
-    dealt = posts.join(lists, "word").selectExpr("*", "cast(pmod(xxhash64(set_id), blocks) as int) as own")
+    dealt = posts.join(lists, "word").selectExpr("*", "cast(pmod(xxhash64(doc, line), blocks) as int) as own")
     met = dealt.selectExpr("*", "explode(sequence(0, blocks - 1)) as k").selectExpr(
-        "word", "least(own, k) as first", "greatest(own, k) as second", "own", "doc", "line", "n", "place", "is_open", "set_id", "parity"
+        "word", "least(own, k) as first", "greatest(own, k) as second", "own", "doc", "line", "n", "place", "is_open", "parity"
     )
     keys = ["word", "first", "second"]
-    every = open_sets is not None
-    out = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        partial(_compare, every=every), "early binary, late binary, doc long, line long"
-    )
+    every = open_places is not None
+    out = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_compare, every=every), "doc long, line int, late_doc long, late_line int")
     if every:
         return out.distinct()
-    first = out.groupBy("late").agg(F.min(F.struct("doc", "line", "early")).alias("e"))
-    return first.select("e.early", "late", "e.doc", "e.line")
+    return out.groupBy("late_doc", "late_line").agg(F.min(F.struct("doc", "line")).alias("e")).select("e.doc", "e.line", "late_doc", "late_line")
 
 
 def _compare(batches, every: bool):
-    names = ["early", "late", "doc", "line"]
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    held = [[] for _ in names]
     for group in runs(batches, 3):
-        first, second, own, doc, line, n, place, is_open = (group.column(c).to_numpy() for c in range(1, 9))
+        first, second, own, doc, line, n, place, is_open, parity = (group.column(c).to_numpy() for c in range(1, 10))
         order = np.lexsort((line, doc))
-        first, second, own, doc, line, n, place, is_open = (c[order] for c in (first, second, own, doc, line, n, place, is_open))
-        parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(-1, 2)[order]
-        ids = group.column("set_id")
-        same = first[0] == second[0]
+        own, doc, line, n, place, is_open, parity = (c[order] for c in (own, doc, line, n.astype(np.int64), place, is_open, parity))
+        same, early, late = first[0] == second[0], [], []
         for j in np.flatnonzero(is_open[1:]) + 1:
             i = np.arange(j)
             i = i if same else i[own[:j] != own[j]]
@@ -164,55 +154,53 @@ def _compare(batches, every: bool):
             need = -(-PERCENT * both // (100 + PERCENT))
             room = np.minimum(n[i] - place[i], n[j] - place[j])
             good = (room >= need) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-            i, need, both = i[good], need[good], both[good]
-            i = i[np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= both - 2 * need]
-            for k in i if every else i[:1]:
-                for column, value in zip(held, (ids[order[k]].as_py(), ids[order[j]].as_py(), doc[k], line[k]), strict=True):
-                    column.append(value)
-        if len(held[0]) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
-            held = [[] for _ in names]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """late of the pairs whose word sets are similar."""
-    members = pairs.select(F.explode(F.array("early", "late")).alias("set_id")).distinct()
-    places = members.join(classes.select("set_id", F.col("doc").alias("doc_id"), "line"), "set_id")
-    lines = places.hint("shuffle_hash").join(docs.toDF("doc_id", "text"), "doc_id")
-    lines = lines.select("set_id", F.get(F.split("text", "\n"), F.col("line").cast("int")).alias("words")).dropDuplicates(["set_id"])
-    lines = written(lines, "line-texts")
-    one, two = lines.toDF("early", "early_words"), lines.toDF("late", "late_words")
-    both = pairs.select("early", "late").join(one, "early").join(two, "late").select("late", "early_words", "late_words")
+            good &= np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need
+            i = i[good] if every else i[good][:1]
+            early.append(i)
+            late.append(np.full(len(i), j))
+        if early and len(i := np.concatenate(early)):
+            j = np.concatenate(late)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], line[i], doc[j], line[j])], names=["doc", "line", "late_doc", "late_line"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """late_doc and late_line of the pairs whose word sets are similar."""
+    early, late = pairs.select("doc", "line"), pairs.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"))
+    places = early.unionByName(late).distinct()
+    lines = places.hint("shuffle_hash").join(docs.toDF("doc", "text"), "doc").select("doc", "line", F.get(F.split("text", "\n"), "line").alias("words"))
+    lines = written(lines.dropDuplicates(["doc", "line"]), "line-texts")
+    both = pairs.join(lines, ["doc", "line"]).join(lines.toDF("late_doc", "late_line", "late_words"), ["late_doc", "late_line"])
 
     def run(batches):
         for batch in batches:
             good = []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = set(words_of(a)), set(words_of(b))
                 good.append(100 * len(x & y) >= PERCENT * len(x | y))
-            yield batch.select([0]).filter(pa.array(good, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "late binary").distinct()
+    return both.select("late_doc", "late_line", "words", "late_words").mapInArrow(run, "late_doc long, late_line int").distinct()
 
 
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and removed: the numbers of its lines that go, of every document that loses a line."""
     small_batches(docs.sparkSession)
     source = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"cast(`{text}` as string) as text").filter("doc_id is not null")
-    lines = written(lines_of(source, frequent_words(source)), "line-sets")
-    first = lines.groupBy("set_id").agg(F.min(F.struct("doc", "line", "n", "prefix", "parity")).alias("c"))
+    frequent = frequent_words(source)
+    # twice from the texts: once with what the join needs, for the first of equal lines only, once without
+    first = lines_of(source, frequent).groupBy("set_id").agg(F.min(F.struct("doc", "line", "n", "prefix", "parity")).alias("c"))
     classes = written(first.select("set_id", "c.*"), "line-classes")
     found = written(candidates(classes), "line-pairs")
-    gone = written(verified(found, classes, source), "line-gone")
-    left = found.select(F.col("late").alias("set_id")).join(gone.select(F.col("late").alias("set_id")), "set_id", "left_anti")
-    rest = written(candidates(classes, left), "line-pairs")
-    gone = gone.unionByName(verified(rest.join(found, ["early", "late"], "left_anti"), classes, source))
-    fate = classes.select("set_id", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(
-        gone.select(F.col("late").alias("set_id"), F.lit(True).alias("gone")), "set_id", "left"
-    )
-    lost = lines.select("set_id", "doc", "line").join(fate, "set_id").filter("gone or doc <> first_doc or line <> first_line")
-    return lost.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("removed"))
+    gone = written(verified(found, source), "line-gone")
+    left = found.select("late_doc", "late_line").join(gone, ["late_doc", "late_line"], "left_anti")
+    if not left.isEmpty():
+        more = candidates(classes, left).join(found, found.columns, "left_anti")
+        gone = gone.unionByName(written(verified(written(more, "line-pairs"), source), "line-gone"))
+    similar = gone.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"), F.lit(True).alias("gone"))
+    fate = classes.select("set_id", "doc", "line").join(similar, ["doc", "line"], "left").toDF("first_doc", "first_line", "set_id", "gone")
+    lines = lines_of(source, frequent).select("set_id", "doc", "line")
+    lost = lines.join(fate, "set_id").filter("gone or doc <> first_doc or line <> first_line")
+    return lost.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
