@@ -1,18 +1,475 @@
-"""Every query of the engine bound to the driver's tables, with the SQL that checks it."""
+"""Every query of the engine bound to the driver's tables, with the SQL that checks it.
+
+The vault is rendered from part, supplier and lineitem (sources.vault.demo) and then parsed like any other; the SQL works
+the same answers out from the tables alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as fx
+from ..operators import catalogue, diagnostics, fts, graph, markdown, rag, retrieval, synthesis, topology, vectors
+from ..sources import vault
+from ..storage import settled
+from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return j01_backlinks(spark, sf_dir)
+
+
+_VAULTS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vault(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The parsed vault of the tables, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VAULTS:
+        _VAULTS.clear()
+        _VAULTS[key] = markdown.tables(settled(markdown.parse(vault.demo(spark, sf_dir)), "vault"))
+    return _VAULTS[key]
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    return graph.build(_vault(spark, sf_dir))
+
+
+#: The vault's notes, links and edges straight from the tables.
+_SQL = """
+with notes as (
+  select 'Part ' || p_partkey as title from part union all select 'Supplier ' || s_suppkey from supplier),
+links as (
+  select 'Part ' || l_partkey as src, 'Supplier ' || l_suppkey as dst,
+    case l_linenumber % 3 when 0 then 'wikilink' when 1 then 'embed' else 'markdown' end as link_type from lineitem
+  union all select 'Part ' || l_partkey, 'Part ' || l_orderkey, 'wikilink' from lineitem
+  union all select 'Supplier ' || s_suppkey, 'Nation ' || s_nationkey, 'wikilink' from supplier),
+brands as (
+  select 'Part ' || p_partkey as title, 'brand/' || lower(replace(p_brand, '#', '-')) as tag from part
+  union all select 'Part ' || p_partkey, 'type/' || lower(p_type) from part
+  union all select 'Supplier ' || s_suppkey, 'supplier' from supplier),
+vertices as (
+  select title from notes union select dst from links)
+"""
+
+
+@query(_SQL + "select link_type, count(*) as n, count(distinct src) as notes from links group by link_type")
+def p14_links_by_type(spark, sf_dir):
+    links = _vault(spark, sf_dir)["links"]
+    return links.groupBy("link_type").agg(F.count("*").alias("n"), F.countDistinct("source_doc_id").alias("notes"))
+
+
+@query(_SQL + "select title || '.md' as doc_id, case when starts_with(title, 'Part') then 2 else 1 end as n_sections, title as h1, case when starts_with(title, 'Part') then title || ' > Supply' else title end as last_crumbs from notes")
+def p08_sections(spark, sf_dir):
+    s = _vault(spark, sf_dir)["sections"]
+    crumbs = F.array_join("breadcrumbs", " > ")
+    return s.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_sections"), F.min_by("heading", "ord").alias("h1"), F.max_by(crumbs, "ord").alias("last_crumbs"))
+
+
+@query(_SQL + "select tag, count(distinct title) as n_docs from brands group by tag")
+def a03_tag_counts(spark, sf_dir):
+    return catalogue.tag_counts(_vault(spark, sf_dir))
+
+
+@query("select 'Part ' || p_partkey || '.md' as doc_id, 'size' as key, cast(p_size as varchar) as value from part")
+def p18_attributes(spark, sf_dir):
+    return _vault(spark, sf_dir)["attributes"].select("doc_id", "key", "value")
+
+
+@query("select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as bigint) as n_words from documents")
+def p06_word_count(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", fx.word_count(F.col("text")).alias("n_words"))
+
+
+@query("select doc_id, sha256(text) as hash from documents")
+def p05_content_hash(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("""
+with words as (select doc_id, ord, len(list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '')) as n
+  from (select doc_id, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where trim(p, chr(32) || chr(9)) <> ''),
+whole as (select doc_id, sum(n) as total, list(n order by ord) as ns from words group by doc_id),
+packed as (select doc_id, total, list_reduce(list_prepend({'c': 0, 'chunks': 0}, list_transform(ns, lambda x: {'c': x, 'chunks': 0})),
+  lambda a, b: case when a.chunks = 0 or a.c + b.c > 300 then {'c': b.c, 'chunks': a.chunks + 1} else {'c': a.c + b.c, 'chunks': a.chunks} end) as r from whole)
+select doc_id, cast(case when total <= 400 then 1 else r.chunks end as bigint) as n_chunks from packed""")
+def p22_chunk_packing(spark, sf_dir):
+    """Lines as paragraphs: whole up to 400 words, else packed while a pack stays within 300."""
+    d = _read(spark, sf_dir, "documents")
+    parts = F.filter(F.split("text", "\n"), lambda p: F.trim(F.replace(p, F.lit("\t"), F.lit(" "))) != "")
+    sizes = F.transform(parts, lambda p: fx.word_count(p))
+    start = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("chunks"))
+
+    def pack(a, n):
+        new = (a["chunks"] == 0) | (a["c"] + n > markdown.CHUNK_WORDS)
+        return F.struct(F.when(new, n).otherwise(a["c"] + n).alias("c"), (a["chunks"] + new.cast("bigint")).alias("chunks"))
+
+    sized = d.select("doc_id", sizes.alias("ns")).filter(F.size("ns") > 0)
+    total, packs = F.aggregate("ns", F.lit(0).cast("bigint"), lambda s, n: s + n), F.aggregate("ns", start, pack)["chunks"]
+    return sized.select("doc_id", F.when(total <= markdown.WHOLE_SECTION_WORDS, F.lit(1).cast("bigint")).otherwise(packs).alias("n_chunks"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from pages where regexp_full_match(url, '[ -~]*')")
+def p24_slugify(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").filter(F.col("url").rlike("^[ -~]*$")).select("page_id", fx.slugify(F.col("url")).alias("slug"))
+
+
+@query(_SQL + "select (select count(*) from notes) as documents, (select count(*) from links) as links, (select count(*) from brands) as tags, (select 2 * count(*) from part) + (select count(*) from supplier) as sections")
+def a01_stats(spark, sf_dir):
+    return catalogue.stats(_vault(spark, sf_dir)).select("documents", "links", "tags", "sections")
+
+
+@query(_SQL + "select lower(dst) as target, src as title, src || '.md' as path, link_type, count(*) as n from links group by all")
+def j01_backlinks(spark, sf_dir):
+    return catalogue.backlinks(_vault(spark, sf_dir)).groupBy("target", "title", "path", "link_type").agg(F.count("*").alias("n"))
+
+
+@query(_SQL + "select dst as target_note, count(distinct src) as ref_count, array_to_string(list_sort(list(distinct src)), ',') as sources from links where dst not in (select title from notes) group by dst")
+def j02_unresolved_links(spark, sf_dir):
+    found = catalogue.unresolved_links(_vault(spark, sf_dir))
+    return found.select("target_note", "ref_count", F.array_join("sources", ",").alias("sources"))
+
+
+@query(_SQL + "select title from notes where title not in (select src from links) and title not in (select dst from links)")
+def j03_orphan_notes(spark, sf_dir):
+    return catalogue.orphan_notes(_vault(spark, sf_dir)).select("title")
+
+
+@query(_SQL + "select title from notes where title not in (select src from links) and title not in (select dst from links)")
+def g07_orphans(spark, sf_dir):
+    return graph.orphans(_graph(spark, sf_dir)).select("title")
+
+
+@query(_SQL + "select dst as title, count(*) as ref_count from links where dst not in (select title from notes) group by dst")
+def g08_wanted_pages(spark, sf_dir):
+    return graph.wanted(_graph(spark, sf_dir))
+
+
+@query(_SQL + "select v.title, (select count(*) from links l where l.dst = v.title) as in_degree, (select count(*) from links l where l.src = v.title) as out_degree from vertices v")
+def a05_degrees(spark, sf_dir):
+    return graph.degrees(_graph(spark, sf_dir)).select("title", "in_degree", "out_degree")
+
+
+@query(_SQL + """, w as (select src, dst, case link_type when 'embed' then 2.0 when 'wikilink' then 1.0 else 0.8 end as w from links where src <> dst)
+select u, v, round(sum(w), 4) as weight from (select src as u, dst as v, w from w union all select dst, src, w from w) group by u, v""")
+def a15_adjacency(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    t = g.vertices.select("id", "title")
+    a = graph.adjacency(g).join(t.toDF("u", "u_title"), "u").join(t.toDF("v", "v_title"), "v")
+    return a.select(F.col("u_title").alias("u"), F.col("v_title").alias("v"), F.round("weight", 4).alias("weight"))
+
+
+@query()
+def g02_pagerank(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.pagerank(g).join(g.vertices.select("id", "title"), "id").select("title", F.round("pagerank", 6).alias("pagerank"))
+
+
+@query(_SQL.replace("with notes", "with recursive notes") + """, walk as (
+  select 'Part 1' as id, 0 as hops union select l.dst, w.hops + 1 from walk w join links l on l.src = w.id where w.hops < 3)
+select id as title, min(hops) as hops from walk group by id""")
+def g06_hops(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.hops_from(g, "Part 1", 3).join(g.vertices.select("id", "title"), "id").select("title", "hops")
+
+
+@query()
+def g06_shortest_path(spark, sf_dir):
+    path = graph.shortest_path(_graph(spark, sf_dir), "Part 1", "Nation 3")
+    return spark.createDataFrame([(k, x) for k, x in enumerate(path or [])], "hop int, title string")
+
+
+@query(_SQL + "select link_type, count(*) as n, round(sum(case link_type when 'embed' then 2.0 when 'wikilink' then 1.0 else 0.8 end), 2) as weight from links group by link_type")
+def g09_export_links(spark, sf_dir):
+    links = graph.export(_graph(spark, sf_dir), spark.createDataFrame([], "id string, pagerank double"))[1]
+    return links.groupBy(F.col("type").alias("link_type")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
+
+
+@query("""
+with m as (select c_custkey as id, 'nation/' || c_nationkey || '/' || c_mktsegment as tag from customer),
+s as (select tag from m group by tag having count(distinct id) between 2 and 50)
+select a.tag, a.id as u, b.id as v from m a join m b on a.tag = b.tag and a.id < b.id where a.tag in (select tag from s)""")
+def j10_tag_pairs(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    tag = F.concat_ws("/", F.lit("nation"), F.col("c_nationkey").cast("string"), "c_mktsegment")
+    return graph.tag_pairs(c.select(tag.alias("tag"), F.col("c_custkey").alias("id")))
+
+
+@query(_SQL + """, prefixes as (select distinct title, tag, unnest(case when contains(tag, '/') then [split_part(tag, '/', 1), tag] else [tag] end) as node from brands)
+select node, cast(min(len(node) - len(replace(node, '/', ''))) as bigint) as depth, count(*) filter (node = tag) as n_notes, bool_and(node = tag) as is_leaf from prefixes group by node""")
+def a11_taxonomy(spark, sf_dir):
+    t = _vault(spark, sf_dir)
+    return synthesis.taxonomy(t["tags"].join(t["documents"].select("doc_id", "title"), "doc_id").select("tag", "title"))
+
+
+@query(_SQL + "select distinct split_part(tag, '/', 1) as topic from brands")
+def a09_topics(spark, sf_dir):
+    return synthesis.topics(_vault(spark, sf_dir))
+
+
+@query(_SQL + """, own as (select title from notes where title in (select title from brands where tag = 'type/economy') or contains(lower(title), 'type/economy'))
+select dst as target_note, count(*) as n from links where src in (select title from own) and dst not in (select title from own) group by dst order by n desc, target_note limit 10""")
+def a10_connections(spark, sf_dir):
+    t = _vault(spark, sf_dir)
+    return synthesis.connections(t, _graph(spark, sf_dir).vertices.filter("node_type = 'document'"), "type/economy")
+
+
+_TERMS = ("thtion", "erent", "the")
+
+
+def _posting_source(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return fts.index(d, "doc_id", ("content",), fts.plain_tokens)
+
+
+@query("""
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents),
+len as (select d.doc_id, count(w.term) as len from documents d left join w using (doc_id) group by d.doc_id),
+tf as (select doc_id, term, count(*) as tf from w where term in ('thtion', 'erent', 'the') group by all),
+df as (select term, count(*) as df from tf group by term),
+s as (select count(*) as n, sum(len) as total from len)
+select doc_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / n)))), 6) as score
+from tf join df using (term) join len using (doc_id), s group by doc_id""")
+def t05_bm25(spark, sf_dir):
+    ix = _posting_source(spark, sf_dir)
+    terms = spark.createDataFrame([("q", t) for t in _TERMS], "query string, term string")
+    return fts.bm25(ix, terms, {"content": 1.0}).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def t02_boolean_search(spark, sf_dir):
+    ix = fts.index(_vault(spark, sf_dir)["chunks"])
+    return fts.search(ix, '("small ring" OR bolt*) NOT title:supplier', 50).select("id", F.round("score", 6).alias("score"))
+
+
+def _vector_queries(e: DataFrame) -> DataFrame:
+    """A stated query set: every vector whose id is divisible by 20."""
+    return e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+_NEAR = """
+with s as (select q.vec_id as query_id, e.vec_id, list_inner_product(q.embedding::double[], e.embedding::double[]) as similarity
+  from embeddings q, embeddings e where q.vec_id % 20 = 0)
+select query_id, vec_id, round(similarity, 5) as similarity, rank from (select *, cast(row_number() over (partition by query_id order by similarity desc, vec_id) as int) as rank from s) where rank <= 10"""
+
+
+@query(_NEAR)
+def v03_vector_top_k(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return vectors.top_k(e, _vector_queries(e)).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query()
+def v05_sq8_top_k(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return vectors.top_k(e, _vector_queries(e), quantised=True).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query()
+def v06_hnsw_top_k(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return vectors.hnsw_top_k(e, _vector_queries(e)).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query("""
+with v as (select vec_id, embedding::double[] as e from embeddings),
+s as (select vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / 127.0 as scale from v),
+q as (select vec_id, scale, list_transform(e, lambda x: cast(round(x / scale) as int)) as d from s)
+select vec_id, round(scale, 9) as scale, cast(list_sum(d) as bigint) as parts, round(1 / sqrt(list_sum(list_transform(d, lambda x: x * x))), 9) as inv_norm from q""")
+def f14_sq8_encode(spark, sf_dir):
+    s = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.sq8(F.col("embedding")).alias("s"))
+    parts = F.aggregate("s.data", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return s.select("vec_id", F.round("s.scale", 9).alias("scale"), parts.alias("parts"), F.round("s.inv_norm", 9).alias("inv_norm"))
+
+
+@query()
+def a19_recall(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    q = _vector_queries(e)
+    return vectors.recall(vectors.top_k(e, q, quantised=True), vectors.top_k(e, q)).select("query_id", F.round("recall", 4).alias("recall"))
+
+
+@query("select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 5) as norm from embeddings")
+def f12_normalised(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.normalized(F.col("embedding")).alias("v"))
+    return e.select("vec_id", F.round(F.sqrt(vectors.dot(F.col("v"), F.col("v"))), 5).alias("norm"))
+
+
+@query("""
+with a as (select doc_id as id, row_number() over (order by n_chars desc, doc_id) as rank from documents),
+b as (select vec_id as id, row_number() over (order by label, vec_id) as rank from embeddings)
+select coalesce(a.id, b.id) as id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) as rrf from a full join b on a.id = b.id""")
+def j08_rrf(spark, sf_dir):
+    one = F.lit("q").alias("query")
+    a = _read(spark, sf_dir, "documents").select(one, F.col("doc_id").alias("id"), F.col("n_chars").alias("s"))
+    b = _read(spark, sf_dir, "embeddings").select(one, F.col("vec_id").alias("id"), F.col("label").alias("s"))
+    return retrieval.fused(retrieval.ranked(a, "s", False), retrieval.ranked(b, "s", True)).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+@query()
+def h01_hybrid(spark, sf_dir):
+    chunks = _vault(spark, sf_dir)["chunks"].drop("doc_id", "ord")
+    e = vectors.embedded(chunks, "chunk_id", "content")
+    vector = list(vectors.embedded(spark.createDataFrame([("q", "red widget supply")], "k string, t string"), "k", "t").head()["embedding"])
+    return retrieval.hybrid(chunks, fts.index(chunks), e, "red widget supply", vector, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""
+select conv_id, turn, case
+  when contains(q, '::') or contains(q, '->') or contains(q, '()') or contains(q, '_') or starts_with(q, '#') or (starts_with(q, '"') and ends_with(q, '"'))
+    or regexp_matches(q, '\\.(rs|md|ts|py)$') or regexp_matches(q, '^(fn|struct|class|impl|enum|trait|interface|type|def|let) ') then 'code'
+  when ends_with(q, '?') or len(list_filter(w, lambda x: x <> '')) >= 5 or list_has_any(w, ['how', 'why', 'what', 'where', 'when', 'explain', 'describe', 'difference']) then 'natural_language'
+  else 'balanced' end as intent
+from (select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as q, regexp_split_to_array(lower(text), '\\s+') as w from conversations)""")
+def f02_query_intent(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", fx.query_intent(F.col("text")).alias("intent"))
+
+
+@query("""
+select p_partkey, round(least(5.0, (case when lower(p_name) = 'red widget' then 2.5 when contains(lower(p_name), 'red widget') or contains('red widget', lower(p_name)) then 1.6 else 1.0 end)
+  * (case when ends_with(lower(p_brand || ' > ' || p_name), 'red widget') then 2.0 when contains(lower(p_brand || ' > ' || p_name), 'red widget') then 1.3 else 1.0 end)
+  * (1 + 0.2 * least(greatest(p_size / 50.0, 0), 1))), 6) as boost from part""")
+def f03_rerank_boost(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    boost = fx.rerank_boost(F.lit("Red widget"), F.col("p_name"), F.concat_ws(" > ", "p_brand", "p_name"), none, F.col("p_size") / 50.0)
+    return _read(spark, sf_dir, "part").select("p_partkey", F.round(boost, 6).alias("boost"))
+
+
+@query("""select page_id, replace(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '/', '&#x2F;') as escaped from pages""")
+def f25_escape_html(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", fx.escape_html(F.col("url")).alias("escaped"))
+
+
+@query("""select page_id, not regexp_matches(u, '^(javascript|vbscript|file|data):') and (regexp_matches(u, '^(https?://|mailto://|#)') or not contains(u, ':')) as safe
+from (select page_id, lower(regexp_replace(url, '[\\s[:cntrl:]]', '', 'g')) as u from pages)""")
+def f26_safe_url(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", fx.is_safe_url(F.col("url")).alias("safe"))
+
+
+@query("""select page_id, case when starts_with(p, '/') then 'absolute' when regexp_matches(p, '^[A-Za-z]:') then 'drive' end as error from (select page_id, replace(url, chr(92), '/') as p from pages)""")
+def f23_lexical_path(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", fx.lexical_path(F.col("url"))["error"].alias("error"))
+
+
+@query("""
+with m as (select part.p_partkey as id, lower(p_name) as name from part) select id, count(*) as n from m group by id""")
+def s08_documents(spark, sf_dir):
+    t = _vault(spark, sf_dir)
+    return catalogue.documents(t).filter(F.col("title").startswith("Part ")).groupBy(F.substring("title", 6, 20).cast("bigint").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("""
+with k as (select user_id as path, ts, case event_type when 'signup' then 'create' when 'error' then 'remove' else 'modify' end as kind from events),
+m as (select *, case when ts - lag(ts) over (partition by path order by ts) < interval 6 hour then 0 else 1 end as first from k),
+r as (select *, sum(first) over (partition by path order by ts rows unbounded preceding) as run from m)
+select path, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) as n_events from r group by path, run""")
+def x02_event_runs(spark, sf_dir):
+    """The runs of each user's events, those included that come to nothing."""
+    events = _user_events(spark, sf_dir)
+    runs = events.groupBy("path", F.session_window("ts", "6 hours").alias("run")).agg(F.count("*").alias("n_events"))
+    return runs.select(F.col("path").cast("bigint").alias("path"), F.col("run.start").cast("timestamp_ntz").alias("start"), F.col("run.end").cast("timestamp_ntz").alias("end"), "n_events")
+
+
+def _user_events(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "remove").otherwise("modify")
+    return _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query()
+def x03_settled_actions(spark, sf_dir):
+    return watch.settled(_user_events(spark, sf_dir), "6 hours", None).select("path", "start", "end", "n_events", "action")
+
+
+@query("""
+with old as (select doc_id, n_chars as mtime, n_chars as size, md5(text) as hash from documents where source <> 'src0'),
+new as (select doc_id, n_chars + (case when lang = 'en' then 0 else 1 end) as mtime, n_chars as size, md5(text || case when lang = 'de' then 'x' else '' end) as hash from documents where source <> 'src1')
+select coalesce(new.doc_id, old.doc_id) as path, case when old.doc_id is null then 'insert' when new.doc_id is null then 'delete'
+  when (new.mtime = old.mtime and new.size = old.size) or new.hash = old.hash then 'unchanged' else 'update' end as action
+from new full join old on new.doc_id = old.doc_id""")
+def j22_manifest_changes(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "path")
+    old = d.filter("source <> 'src0'").select("path", F.col("n_chars").alias("mtime"), F.col("n_chars").alias("file_size"), F.md5("text").alias("hash"))
+    late = F.when(F.col("lang") == "en", 0).otherwise(1)
+    text = F.concat("text", F.when(F.col("lang") == "de", "x").otherwise(""))
+    new = d.filter("source <> 'src1'").select("path", (F.col("n_chars") + late).alias("mtime"), F.col("n_chars").alias("file_size"), F.md5(text).alias("hash"))
+    return catalogue.changes(new, old)
+
+
+@query(_SQL + "select code, count(*) as n from (select case link_type when 'wikilink' then 'W001' when 'markdown' then 'W004' else 'W005' end as code from links where dst not in (select title from notes)) group by code")
+def d02_lint(spark, sf_dir):
+    return diagnostics.lint(_vault(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query()
+def f10_typo_suggestions(spark, sf_dir):
+    names = _read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return diagnostics.suggestions(names.select(F.translate("name", "e", "a").alias("name")), names)
+
+
+@query(_SQL + """, cost as (select src, dst, case link_type when 'embed' then 0.9 when 'wikilink' then 1.0 else 1.2 end as c from links where dst in (select title from notes)),
+sized as (select tag from brands group by tag having count(distinct title) between 2 and 50)
+select 'link' as kind, count(*) as n, round(sum(c), 2) as cost from cost union all select 'backlink', count(*), round(sum(c + 0.3), 2) from cost
+union all select 'tag', 2 * count(*), round(3.0 * count(*), 2) from brands a join brands b on a.tag = b.tag and a.title < b.title where a.tag in (select tag from sized)""")
+def g12_context_edges(spark, sf_dir):
+    e = rag.build(_vault(spark, sf_dir)).edges
+    kind = F.when(F.col("relation") == "backlink", "backlink").when(F.col("relation").startswith("tag:"), "tag").otherwise("link")
+    out = e.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("cost"), 2).alias("cost"))
+    return spark.createDataFrame([("link",), ("backlink",), ("tag",)], "kind string").join(out, "kind", "left").fillna({"n": 0, "cost": 0.0})
+
+
+@query(_SQL + """select count(*) as paths, min(hops) as least from (
+  select 1 as hops from links where src = 'Part 1' and dst in (select title from notes) and dst <> src
+  union all select 2 from links a join links b on a.dst = b.src where a.src = 'Part 1' and a.dst <> a.src and b.dst in (select title from notes) and b.dst <> a.src and b.dst <> b.src)""")
+def g15_radial_paths(spark, sf_dir):
+    t = _vault(spark, sf_dir)
+    g = rag.build({**t, "tags": t["tags"].limit(0)})
+    return rag.simple_paths(g, "Part 1.md", None, 2, 10_000_000, ("backlink",)).agg(F.count("*").alias("paths"), F.min(F.size("ids") - 1).alias("least"))
+
+
+@query()
+def g17_steiner_tree(spark, sf_dir):
+    t = _vault(spark, sf_dir)
+    g = rag.build({**t, "tags": t["tags"].limit(0)})
+    tree = rag.steiner_tree(g, ["Supplier 1.md", "Part 1.md", "Part 2.md"])
+    return spark.createDataFrame([(e["src"], e["dst"], e["relation"], round(e["cost"], 4)) for e in tree["edges"]], "src string, dst string, relation string, cost double")
+
+
+@query()
+def g21_walks(spark, sf_dir):
+    return topology.walks(graph.adjacency(_graph(spark, sf_dir)), topology.Config(walks=1, walk_length=6))
+
+
+@query("""select source, count(*) as n, min(doc_id) as first_doc from documents group by source""")
+def k04_latest(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    w = Window.partitionBy("source")
+    rows = d.select("source", "doc_id", F.count("*").over(w).alias("n"), (-F.col("doc_id")).alias("newest"))
+    return catalogue.latest(rows, ["source"], "newest").select("source", "n", F.col("doc_id").alias("first_doc"))
