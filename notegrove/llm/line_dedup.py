@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import small_batches, written
-from .near_dedup import runs
 
 #: Lines are similar if 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -121,46 +120,87 @@ def candidates(classes: DataFrame, open_places: DataFrame | None = None) -> Data
     """Pairs of classes, by their first places (doc, line) and (late_doc, late_line), that the filters leave. Without open_places
     only a class's earliest partner in each list; with open_places (late_doc, late_line) every partner of those."""
     posts = classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("place", "word"))
-    lists = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("members")).filter("members > 1")
-    lists = lists.select("word", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    if open_places is not None:
+    counted = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("members"))
+    every = open_places is not None
+    if every:
         mine = open_places.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"), F.lit(True).alias("is_open"))
-        posts = posts.join(mine, ["doc", "line"], "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-        lists = lists.join(classes.join(mine, ["doc", "line"]).select(F.explode("prefix").alias("word")).distinct(), "word")
+        words = classes.join(mine, ["doc", "line"]).select(F.explode("prefix").alias("word")).distinct()
+        posts = posts.join(written(words, "line-open-words"), "word", "left_semi").join(mine, ["doc", "line"], "left")
+        posts = posts.withColumn("is_open", F.coalesce("is_open", F.lit(False)))
     else:
         posts = posts.withColumn("is_open", F.lit(True))
-    dealt = posts.join(lists, "word").selectExpr("*", "cast(pmod(xxhash64(doc, line), blocks) as int) as own")
-    met = dealt.selectExpr("*", "explode(sequence(0, blocks - 1)) as k").selectExpr(
-        "word", "least(own, k) as first", "greatest(own, k) as second", "own", "doc", "line", "n", "place", "is_open", "parity"
-    )
+    # a table of its own, so that Spark knows its size: the long lists are few, or else this is a shuffled join
+    long_lists = written(counted.filter(F.col("members") > BLOCK).select("word", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "line-long-lists")
+    dealt = posts.join(long_lists, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.selectExpr("*", "cast(pmod(xxhash64(doc, line), blocks) as int) as own", "explode(sequence(0, blocks - 1)) as k")
+    met = dealt.selectExpr("word", "least(own, k) as first", "greatest(own, k) as second", "own", "doc", "line", "n", "place", "is_open", "parity")
     keys = ["word", "first", "second"]
-    every = open_places is not None
-    out = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_compare, every=every), "doc long, line int, late_doc long, late_line int")
+    sorted_lists = met.repartition(*keys).sortWithinPartitions(*keys, "doc", "line")
+    out = sorted_lists.mapInArrow(partial(_compare, every=every), "doc long, line int, late_doc long, late_line int")
     if every:
         return out.distinct()
     return out.groupBy("late_doc", "late_line").agg(F.min(F.struct("doc", "line")).alias("e")).select("e.doc", "e.line", "late_doc", "late_line")
 
 
+#: Postings compared at a time; lists stay whole, and have at most some multiple of BLOCK.
+COMPARED = 200_000
+
+
 def _compare(batches, every: bool):
-    for group in runs(batches, 3):
-        first, second, own, doc, line, n, place, is_open, parity = (group.column(c).to_numpy() for c in range(1, 10))
-        order = np.lexsort((line, doc))
-        own, doc, line, n, place, is_open, parity = (c[order] for c in (own, doc, line, n.astype(np.int64), place, is_open, parity))
-        same, early, late = first[0] == second[0], [], []
-        for j in np.flatnonzero(is_open[1:]) + 1:
-            i = np.arange(j)
-            i = i if same else i[own[:j] != own[j]]
-            both = n[i] + n[j]
-            need = -(-PERCENT * both // (100 + PERCENT))
-            room = np.minimum(n[i] - place[i], n[j] - place[j])
-            good = (room >= need) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-            good &= np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need
-            i = i[good] if every else i[good][:1]
-            early.append(i)
-            late.append(np.full(len(i), j))
-        if early and len(i := np.concatenate(early)):
-            j = np.concatenate(late)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], line[i], doc[j], line[j])], names=["doc", "line", "late_doc", "late_line"])
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def columns():
+        return [np.concatenate([h[k] for h in held]) for k in range(10)]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+        if size >= COMPARED:
+            rows = columns()
+            last = np.flatnonzero(_starts(rows))[-1]
+            held = [[c[last:] for c in rows]]
+            size = len(rows[0]) - last
+            yield _found([c[:last] for c in rows], every)
+    if held:
+        yield _found(columns(), every)
+
+
+def _starts(rows: list[np.ndarray]) -> np.ndarray:
+    """Whether a list starts at a row."""
+    new = np.ones(len(rows[0]), bool)
+    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+    return new
+
+
+def _found(rows: list[np.ndarray], every: bool) -> pa.RecordBatch:
+    """Pairs within the lists of the rows that the filters leave: each row against the one 1, 2, 3... places later."""
+    first, second, own, doc, line, n, place, is_open, parity = rows[1:]
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    starts = np.flatnonzero(_starts(rows))
+    left = np.repeat(np.append(starts[1:], len(doc)), np.diff(np.append(starts, len(doc)))) - np.arange(len(doc))  # rows to the list's end
+    apart = first != second
+    early, late, i, k = [], [], np.flatnonzero(left > 1), 1
+    while len(i):
+        j = i + k
+        both = n[i] + n[j]
+        need = -(-PERCENT * both // (100 + PERCENT))
+        good = is_open[j] & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        good &= np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need
+        good &= ~apart[i] | (own[i] != own[j])
+        early.append(i[good])
+        late.append(j[good])
+        k += 1
+        i = i[left[i] > k]
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (early, late))
+    if not every:  # each row's earliest partner
+        order = np.lexsort((i, j))
+        i, j = i[order], j[order]
+        once = np.ones(len(j), bool)
+        once[1:] = j[1:] != j[:-1]
+        i, j = i[once], j[once]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], line[i], doc[j], line[j])], names=["doc", "line", "late_doc", "late_line"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -204,13 +244,15 @@ def removals(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the repeated lines taken out of text, and removed (their numbers; null where none). Lines with fewer than
+    """docs with the repeated lines taken out of text, and removed (their numbers; null where none), in
+    place of a column of that name. Lines with fewer than
     LEAST_WORDS different words stay, as do null and empty texts. The first of equal or similar lines, by doc_id and line
     number, stays, whether or not its own similar lines went. doc_id is a key: repeated rows of a document are one document
     and all keep the same lines; rows without doc_id are left alone."""
     lost = written(removals(docs, text), "line-removals")
-    names = docs.columns
-    joined = docs.join(lost.hint("shuffle_hash").withColumnRenamed("doc_id", "removed_from"), F.col("doc_id") == F.col("removed_from"), "left").select(*names, "removed")
+    names = [c for c in docs.columns if c != "removed"]
+    other = "doc_id" + "_" * max(map(len, names))  # a name that docs doesn't have
+    joined = docs.join(lost.hint("shuffle_hash").withColumnRenamed("doc_id", other), F.col("doc_id") == F.col(other), "left").select(*(docs[c] for c in names), lost["removed"])
     column = names.index(text)
     schema = joined.schema
 
