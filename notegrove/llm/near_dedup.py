@@ -25,7 +25,9 @@ from ._common import small_batches, written
 COORDINATES = 32
 #: Chance at most that two sets of just the linked similarity agree in fewer coordinates than asked for.
 MISSED = 1e-6
-#: Members of a list that a task compares with as many others, and shingles that their sets hold together.
+#: Members of a list whose signatures a task compares with as many others: some hundred bytes each.
+PART = 1024
+#: Classes whose texts a task compares with as many others, and shingles that their sets hold together.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -187,13 +189,13 @@ def star_pairs(posts: DataFrame, like: Likeness) -> DataFrame:
 
 def open_groups(posts: DataFrame, component: DataFrame, like: Likeness) -> DataFrame:
     """key and one: for each two blocks of classes, those members that share a list with a member of another component and
-    agree with it in enough coordinates. A long list is dealt into parts of about BLOCK members, and each two parts are
+    agree with it in enough coordinates. A long list is dealt into parts of about PART members, and each two parts are
     compared by one task. Members are named, not pairs: there may be far more of these."""
     lists = posts.join(component, "one", "left").select(
         F.explode("prefix").alias("value"), "one", "n", "brief", "inside", "block", F.coalesce("component", "one").alias("component")
     )
     open_lists = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_lists = open_lists.filter("low <> high").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_lists = open_lists.filter("low <> high").select("value", F.ceil(F.col("members") / PART).cast("int").alias("blocks"))
     dealt = lists.join(open_lists, "value").selectExpr("*", "cast(pmod(xxhash64(one), blocks) as int) as own")
     # block k meets each block: the lower number first
     met = dealt.selectExpr("*", "explode(sequence(0, blocks - 1)) as k").selectExpr(
