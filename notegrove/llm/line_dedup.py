@@ -21,8 +21,8 @@ from ._common import small_batches, written
 
 #: Lines are similar if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Lines with fewer different words are never compared, and stay.
-LEAST_WORDS = 5
+#: Lines with fewer words, those without a word, are never compared, and stay.
+LEAST_WORDS = 1
 #: A word with at least this share of all words counts as frequent. At most 1 / FREQUENT words can: 3.2 MB.
 FREQUENT = 1 / 200_000
 #: Members of a list that one task compares with as many others.
@@ -84,7 +84,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 def lines_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """doc, line, set_id, n (different words), prefix (32 bits of the hashes of the rarest words, the rarest first) and parity
-    (63 bits) of every line with LEAST_WORDS words or more. Two words with one key share a list, no more."""
+    (63 bits) of every line with a word. Two words with one key share a list, no more."""
 
     def run(batches):
         for batch in batches:
@@ -108,17 +108,18 @@ def lines_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             place = np.arange(len(hashes)) - np.repeat(start, n)
             inside = place < np.repeat(size, n)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(hashes[inside].astype(np.uint32).view(np.int32)))
-            enough = pa.array(n >= LEAST_WORDS)
             doc = batch.column(0).take(pa.array(text[line[start]]))
             columns = [doc, pa.array(number[line[start]].astype(np.int32)), _fixed(ids), pa.array(n.astype(np.int32)), prefix, pa.array(parity)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "set_id", "n", "prefix", "parity"]).filter(enough)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "set_id", "n", "prefix", "parity"])
 
     return docs.mapInArrow(run, "doc long, line int, set_id binary, n int, prefix array<int>, parity long")
 
 
 def candidates(classes: DataFrame, open_places: DataFrame | None = None) -> DataFrame:
     """Pairs of classes, by their first places (doc, line) and (late_doc, late_line), that the filters leave. Without open_places
-    only a class's earliest partner in each list; with open_places (late_doc, late_line) every partner of those."""
+    only a class's earliest partner in each list; with open_places (late_doc, late_line) every partner of those. Sets so small
+    that one word more or less is too much are similar to equal ones only, which are one class: they need no partner."""
+    classes = classes.filter(f"100 * n >= {PERCENT} * (n + 1)")
     posts = classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("place", "word"))
     counted = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("members"))
     every = open_places is not None
@@ -245,8 +246,8 @@ def removals(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of text, and removed (their numbers; null where none), in
-    place of a column of that name. Lines with fewer than
-    LEAST_WORDS different words stay, as do null and empty texts. The first of equal or similar lines, by doc_id and line
+    place of a column of that name. Lines without a word
+    stay, as do null and empty texts. The first of equal or similar lines, by doc_id and line
     number, stays, whether or not its own similar lines went. doc_id is a key: repeated rows of a document are one document
     and all keep the same lines; rows without doc_id are left alone."""
     lost = written(removals(docs, text), "line-removals")
@@ -271,11 +272,11 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
 def summary(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of lines, joined by commas) and text_sha256 of what is left (null text:
     no line, the hash of the empty string) of every document."""
-    done = clean(docs.select("doc_id", F.col(text).cast("string").alias("text")))
+    whole = docs.select("doc_id", F.col(text).cast("string").alias("text"))
+    done = clean(whole.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))))
     left = F.coalesce("text", F.lit(""))
     lost = F.coalesce(F.size("removed"), F.lit(0))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.when((left == "") & (lost > 0), 0).otherwise(F.size(F.split(left, "\n"))) + lost)
     return done.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), lines.cast("bigint").alias("n_lines"), lost.cast("bigint").alias("n_removed"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_lines").cast("bigint").alias("n_lines"), lost.cast("bigint").alias("n_removed"),
         F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.sha2(left, 256).alias("text_sha256"),
     )

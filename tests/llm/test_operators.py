@@ -230,6 +230,13 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.summary(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = {1: "All rights reserved.\n\nHome", 2: "all  RIGHTS reserved.\nhome page\n", 3: "ha ha ha ha ha ha\nha ha\nHome", 4: "reserved. All rights", 5: "a b c d", 6: "a b c d e\na b c\n \n", 7: None}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.summary(df).collect()}
+    assert got == {1: (3, ""), 2: (3, "0"), 3: (3, "1,2"), 4: (1, "0"), 5: (1, ""), 6: (4, "0"), 7: (0, "")}
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/x", "https://www.example.com/en/", "ftp://a.net/es/1", "a://a.net/en/1", "http://b.net/en/2?u=http://c.com/", "x://org#a", "http://x.com", "http://notexample.com/en/"]
     pages = spark.createDataFrame([(k, u, "c") for k, u in enumerate(urls)], "page_id long, url string, host string")
