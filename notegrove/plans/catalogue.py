@@ -464,7 +464,7 @@ def g17_steiner_tree(spark, sf_dir):
 
 @query()
 def g21_walks(spark, sf_dir):
-    return topology.walks(graph.adjacency(_graph(spark, sf_dir)), topology.Config(walks=1, walk_length=6))
+    return topology.walks(graph.adjacency(_graph(spark, sf_dir)))
 
 
 @query("""select source, count(*) as n, min(doc_id) as first_doc from documents group by source""")

@@ -14,6 +14,7 @@ from notegrove.engine import VaultEngine
 from notegrove.functions import fuzzy
 from notegrove.functions import text as fx
 from notegrove.operators import catalogue, diagnostics, fts, graph, markdown, rag, synthesis, topology, vectors
+from notegrove.plans import catalogue as queries
 from notegrove.streaming import watch
 
 NOTES = {
@@ -205,6 +206,26 @@ def test_node2vec(spark):
     assert w.count() == 10 and all((a, b) in edges for r in w.collect() for a, b in zip(r["nodes"], r["nodes"][1:], strict=False))
 
 
+def vault_of(spark, monkeypatch, notes):
+    """The queries over the tables of these notes in place of the driver's."""
+    tables = VaultEngine(spark, spark.createDataFrame([*notes.items()], "path string, content string")).tables
+    monkeypatch.setattr(queries, "_vault", lambda spark, sf_dir: tables)
+
+
+def test_walks_of_the_query(spark, monkeypatch):
+    vault_of(spark, monkeypatch, {"A.md": "[[B]] [[C]]", "B.md": "[[C]] [[D]]", "C.md": "end", "D.md": "[[A]]", "Lone.md": "alone"})
+    got = queries.g21_walks(spark, "").collect()
+    edges = {(r["u"], r["v"]) for r in queries.graph.adjacency(queries._graph(spark, "")).collect()}
+    assert len({r["walk"] for r in got}) == len(got) == 40 and {len(r["nodes"]) for r in got} == {20}
+    assert all(e in edges for r in got for e in zip(r["nodes"], r["nodes"][1:], strict=False))
+
+
+def test_walks_follow_weights(spark):
+    star = spark.createDataFrame([("a", "b", 3.0), ("a", "c", 1.0), ("b", "a", 3.0), ("c", "a", 1.0)], "u string, v string, weight double")
+    got = [r["nodes"] for r in topology.walks(star, topology.Config(walks=2000, walk_length=2)).collect() if r["nodes"][0] == "a"]
+    assert len(got) == 2000 and abs(sum(x[1] == "b" for x in got) / 2000 - 0.75) < 0.05
+
+
 def test_synthesis(engine, tmp_path):
     once = synthesis.merged("mine\n", "made")
     assert once.startswith("mine") and synthesis.merged(once, "made") == once and "new" in synthesis.merged(once, "new")
