@@ -450,14 +450,23 @@ def g12_context_edges(spark, sf_dir):
   union all select 2 from links a join links b on a.dst = b.src where a.src = 'Part 1' and a.dst <> a.src and b.dst in (select title from notes) and b.dst <> a.src and b.dst <> b.src)""")
 def g15_radial_paths(spark, sf_dir):
     t = _vault(spark, sf_dir)
-    g = rag.build({**t, "tags": t["tags"].limit(0)})
-    return rag.simple_paths(g, "Part 1.md", None, 2, 10_000_000, ("backlink",)).agg(F.count("*").alias("paths"), F.min(F.size("ids") - 1).alias("least"))
+    g = rag.build({**t, "tags": t["tags"].limit(0)})  # the SQL is over links; g15_context_paths takes tags as well
+    return _paths_around(g, "Part 1.md")
+
+
+def _paths_around(g: rag.ContextGraph, start: str) -> DataFrame:
+    return rag.simple_paths(g, start, None, rag.RADIUS, None, ("backlink",)).agg(F.count("*").alias("paths"), F.min(F.size("ids") - 1).alias("least"))
+
+
+@query()
+def g15_context_paths(spark, sf_dir):
+    """Radial paths over links and shared tags."""
+    return _paths_around(rag.build(_vault(spark, sf_dir)), "Part 1.md")
 
 
 @query()
 def g17_steiner_tree(spark, sf_dir):
-    t = _vault(spark, sf_dir)
-    g = rag.build({**t, "tags": t["tags"].limit(0)})
+    g = rag.build(_vault(spark, sf_dir))
     tree = rag.steiner_tree(g, ["Supplier 1.md", "Part 1.md", "Part 2.md"])
     return spark.createDataFrame([(e["src"], e["dst"], e["relation"], round(e["cost"], 4)) for e in tree["edges"]], "src string, dst string, relation string, cost double")
 

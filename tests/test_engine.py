@@ -196,6 +196,15 @@ def test_rag(spark):
     assert rag.simple_paths(g, "A.md", "D.md", 3, 10).count() == 2
 
 
+def test_context_queries_take_tags(spark, monkeypatch):
+    vault_of(spark, monkeypatch, {"Part 1.md": "#x [[Supplier 1]]", "Part 2.md": "#x #y", "Part 3.md": "#y", "Supplier 1.md": "end"})
+    tree = {(r["src"], r["dst"], r["relation"], r["cost"]) for r in queries.g17_steiner_tree(spark, "").collect()}
+    assert tree == {("Supplier 1.md", "Part 1.md", "backlink", 1.3), ("Part 1.md", "Part 2.md", "tag:x", 1.5)}
+    assert tuple(queries.g15_context_paths(spark, "").head()) == (3, 1) and tuple(queries.g15_radial_paths(spark, "").head()) == (1, 1)
+    found = rag.simple_paths(rag.build(queries._vault(spark, "")), "Part 1.md", None, 2, None, ("backlink",))
+    assert rows(found, "ids") == [(["Part 1.md", "Part 2.md"],), (["Part 1.md", "Part 2.md", "Part 3.md"],), (["Part 1.md", "Supplier 1.md"],)]
+
+
 def test_node2vec(spark):
     notes = {"Rust.md": "[[Cargo]] [[Memory Safety]]", "Cargo.md": "[[Rust]] [[Memory Safety]]", "Memory Safety.md": "[[Rust]]", "Cooking.md": "[[Pasta]]", "Pasta.md": "[[Cooking]]"}
     e = VaultEngine(spark, spark.createDataFrame([*notes.items()], "path string, content string"))
