@@ -109,7 +109,7 @@ def pagerank(g: Graph, iterations: int = 30) -> DataFrame:
     return rank.crossJoin(F.broadcast(span)).select("id", "raw", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)).alias("pagerank"))
 
 
-def shortest_path(g: Graph, source: str, target: str, most_hops: int = 64) -> list[str] | None:
+def shortest_path(g: Graph, source: str, target: str) -> list[str] | None:
     """Titles along a shortest directed path by titles (case aside); the least parent by id wins. Only the frontier moves; the
     answer is walked back over the levels."""
     by_title = lambda x: g.vertices.filter(F.lower("title") == x.lower()).select("id", "title").orderBy("id").head()
@@ -122,17 +122,17 @@ def shortest_path(g: Graph, source: str, target: str, most_hops: int = 64) -> li
     edges = settled(g.edges.select("src", "dst").distinct(), "path-edges")
     seen = spark.createDataFrame([(start["id"], None)], "id string, parent string")
     frontier, levels = seen, [seen]
-    for _ in range(most_hops):
+    while True:
         step = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = settled(step.join(seen.select("id"), "id", "left_anti"), "path-frontier")
         if frontier.isEmpty():
             return None
         levels.append(frontier)
-        seen = seen.unionByName(frontier)
         if not frontier.filter(F.col("id") == end["id"]).isEmpty():
             break
-    else:
-        return None
+        seen = seen.unionByName(frontier)
+        if len(levels) % 8 == 0:
+            seen = settled(seen, "path-seen")
     ids = [end["id"]]
     for level in reversed(levels[1:]):
         ids.append(level.filter(F.col("id") == ids[-1]).head()["parent"])

@@ -112,6 +112,19 @@ def test_graph(engine):
     assert rows(graph.hops_from(g, "Alpha", 1), "id", "hops")[0] == ("Alpha.md", 0)
 
 
+def test_ways_longer_than_64_links(spark):
+    n = 67
+    names = [f"n{k:03}" for k in range(n)]
+    e = spark.createDataFrame([*zip(names, names[1:], strict=False)], "src string, dst string").coalesce(1)
+    vertices = spark.createDataFrame([(x, x) for x in names], "id string, title string").coalesce(1)
+    assert graph.shortest_path(graph.Graph(vertices, e), names[0], names[-1]) == names
+    costs = e.withColumn("relation", F.lit("wikilink")).withColumn("cost", F.lit(1.0))
+    # a dear short way, so that its end gets cheaper only in the last round
+    costs = costs.unionByName(spark.createDataFrame([(names[0], names[-1], "wikilink", 100.0)], costs.schema))
+    tree = rag.steiner_tree(rag.ContextGraph(vertices, costs), [names[0], names[-1]])
+    assert tree["nodes"] == names and tree["cost"] == n - 1 and len(tree["edges"]) == n - 1
+
+
 def test_pagerank_by_brute_force(engine):
     g = engine.graph
     ids = sorted(r["id"] for r in g.vertices.collect())
