@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import MAX_BYTES
-
 # Folders that hold no notes.
 HIDDEN_ROOTS = (".atlaswiki", ".git", ".obsidian")
 IGNORED_PARTS = (".git", ".obsidian", ".atlaswiki", "node_modules", ".trash")
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), mtime (ms), file_size, content of the Markdown files below root that are neither hidden nor over the
-    size limit."""
+    """path (relative), mtime (ms), file_size, content of the Markdown files below root that aren't hidden, of any size."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:", "")
     relative = F.expr(f"substring(path, locate('{root.rstrip('/')}', path) + {len(root.rstrip('/')) + 1})") if root else base
-    seen = raw.filter(F.col("length") <= MAX_BYTES).select(
+    seen = raw.select(
         F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"), F.unix_millis("modificationTime").alias("mtime"),
         F.col("length").alias("file_size"), F.decode("content", "UTF-8").alias("content"),
     )

@@ -94,6 +94,15 @@ def test_upsert_and_delete(spark, engine, tmp_path):
     assert catalogue.load(spark, str(tmp_path / "v"))["sections"].count() == t["sections"].count()
 
 
+def test_long_notes_are_indexed(spark, tmp_path):
+    long = "# Long\n" + "word " * (2 * 2**20 + 2**18) + "\n[[Short]]\n"
+    (tmp_path / "Long.md").write_text(long)
+    (tmp_path / "Short.md").write_text("# Short\n")
+    e = VaultEngine.open(spark, str(tmp_path))
+    assert len(long) > 10 * 2**20 and {r["path"]: r["file_size"] for r in e.notes.drop("content").collect()} == {"Long.md": len(long), "Short.md": 8}
+    assert rows(e.backlinks("Short"), "title") == [("Long",)]
+
+
 def test_changes(spark):
     s = "path string, mtime long, file_size long, hash string"
     files = spark.createDataFrame([("a", 1, 1, "x"), ("b", 2, 1, "y"), ("c", 5, 5, "z"), ("d", 9, 9, "same")], s)
