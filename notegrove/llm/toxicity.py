@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ._common import small_batches
 
 #: Labelled rows of each label that the chain is fitted on, at most: those first by a hash of doc_id.
-FIT_ROWS = 2000
+FIT_ROWS = 3000
 #: Signs that a model looks at, and the share of texts (three at least) that must have a sign: the words of one text and
 #: its near copies tell nothing.
 VOCABULARY, LEAST_SHARE = 1000, 1 / 300

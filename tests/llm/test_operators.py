@@ -316,6 +316,15 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxicity_is_fitted_on_3000_rows_a_label(spark, monkeypatch):
+    docs = spark.range(3500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < 200).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity.Chain, "fit", classmethod(lambda cls, texts, toxic, weight: seen.append(len(texts))))
+    toxicity.score(docs, labels)
+    assert seen == [3200]
+
+
 def test_chain_feeds_earlier_categories():
     texts = [f"you {a} {b} number{k}" for k in range(60) for a, b in (("idiot", "trash"), ("nice", "cat"))]
     chain = toxicity.Chain.fit(texts, np.array([1, 0] * 60), np.ones(120))
