@@ -188,6 +188,12 @@ def test_vectors(spark):
     assert list(zero["data"]) == [0, 0] and zero["inv_norm"] == 1.0
 
 
+def test_embedding_reads_whole_texts(spark):
+    texts = [(0, "same " * 600), (1, "same " * 600 + "other " * 900), (2, "other")]
+    e = {r["k"]: np.array(r["embedding"]) for r in vectors.embedded(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
+    assert e[1] @ e[2] > 0.8 > e[0] @ e[2]
+
+
 def test_osa_and_suggestions(spark):
     assert [fuzzy.osa(*p) for p in (("ca", "abc"), ("ab", "ba"), ("Machne", "machine"), ("", "ab"))] == [3, 1, 1, 2]
     rng = random.Random(3)
