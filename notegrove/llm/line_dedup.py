@@ -2,255 +2,450 @@
 
 A line is the set of its words. Lines with equal sets are one class. Words are ordered by rarity; two sets at or above the
 similarity share a word among the rarest few of each (prefix filter), at places that leave room for enough others
-(positional filter), and their sizes are close (length filter). Parity bitmaps of the sets bound their difference from
-below, so hardly a wrong pair is left to be verified on the words. Every occurrence of a class but its first goes, and all
-of them where an earlier class is similar.
+(positional filter), and their sizes are close (length filter). Where the first word that two sets share is frequent, they
+share further words soon after it, and meet in the list of those words together: lists stay short. Parity bitmaps of the
+sets bound their difference from below, so hardly a wrong pair is left to be verified on the words. Every occurrence of a
+class but its first goes, and the first too where an earlier class is similar.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, written
+from ._common import released, small_batches, written
+from ._packed import DEALT, Marks, batch_of, dealt, gathered, mixed, partitions, payloads, summed
+from ._words import Words, blocks, words_of
 
 #: Lines are similar if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Lines with fewer words, those without a word, are never compared, and stay.
-LEAST_WORDS = 1
-#: A word with at least this share of all words counts as frequent. At most 1 / FREQUENT words can: 3.2 MB.
-FREQUENT = 1 / 200_000
-#: Members of a list that one task compares with as many others.
-BLOCK = 256
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def words_of(line: str) -> list[bytes]:
-    """A-Z lower-cased, between ASCII white space."""
-    return line.encode("utf-8", "surrogatepass").lower().split()
-
-
-def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines of some texts: each line's text and number, each word's line and hash."""
-    words, sizes, text, number = [], [], [], []
-    for k, t in enumerate(texts):
-        for i, line in enumerate(t.split("\n") if t else ()):
-            found = words_of(line)
-            if len(found) >= LEAST_WORDS:
-                words += found
-                sizes.append(len(found)), text.append(k), number.append(i)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return np.array(text, np.int64), np.array(number, np.int64), np.repeat(np.arange(len(sizes)), sizes), hashes
-
-
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the frequent words and their counts, from the lines of all documents. A word frequent in all is
-    frequent in one task's rows at least, so each task names at most 1 / FREQUENT words."""
+#: Smaller sets are similar to equal ones only: one word more or less is too much.
+LEAST_WORDS = PERCENT // (100 - PERCENT)
+#: Entries of the table of word counts, by the leading bits of a word's hash.
+COUNTER_BITS = 20
+#: Members a list may be expected to have. Where a word's list would be longer, sets are listed under more words.
+LONG = 4096
+#: Words that one list can ask for; similar sets that aren't equal share LEAST_WORDS at least.
+MOST_KEYS = LEAST_WORDS
+#: Records that a task gathers before it sends them.
+GATHERED = 200_000
+
+_CLASS = ["<u8", "<u8", "<i8", "<i4", "<i4", "<u8"]  # two halves of the set's hash, doc, line, n, parity
+_POST = ["<u4", "<i4", "<i4", "<i4", "<i8", "<u8"]  # key, n, place, line, doc, parity
+
+
+def prefix_sizes(n: np.ndarray) -> np.ndarray:
+    """Of sets of n words, so many of the rarest that similar sets share one of them."""
+    return n - -(-PERCENT * n // 100) + 1
+
+
+class Rarity:
+    """A rank for each word by how often it occurs in lines: exact counts of all words with the same leading bits of the hash,
+    on a scale of eighths of a power of two. 1 MB, whatever the corpus."""
+
+    def __init__(self, counts: np.ndarray, n_lines: int):
+        self.ranks = np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+        self.at_most = 2 ** (np.arange(256) / 8)  # occurrences of a word of each rank
+        self.n_lines = max(1, n_lines)
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Rarity:
+        size = 1 << COUNTER_BITS
+
+        def entries(batches):
+            for batch in batches:
+                hashes, lines = [], 0
+                for block in blocks(batch, 1):
+                    words = words_of(block.column(1))
+                    hashes.append((words.hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
+                    lines += np.count_nonzero(np.diff(words.line, prepend=-1))
+                at = np.append(np.concatenate(hashes), size) if hashes else np.array([size])
+                yield at, np.append(np.ones(len(at) - 1, np.int64), lines)
+
+        counts = summed(docs, entries, size + 1)
+        return cls(counts[:size], int(counts[size]))
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        """keys: the leading 32 bits of the words' hashes."""
+        return self.ranks[keys >> np.uint32(32 - COUNTER_BITS)]
+
+
+def sets_of(words: Words, rarity: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word: a word's number, where its set starts in the hashes, and how many it has; hashes, the rarest
+    word of a set first."""
+    h = words.hashes
+    bits = int(words.line[-1]).bit_length() if len(h) else 0
+    rank = rarity.rank((h >> np.uint64(32)).astype(np.uint32)).astype(np.uint64)
+    key = (words.line.astype(np.uint64) << np.uint64(64 - bits) if bits else np.uint64(0)) | rank << np.uint64(56 - bits) | h >> np.uint64(8 + bits)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    if (h[order[1:]] != h[order[:-1]])[same].any():  # bits that the key has no room for decide
+        order = np.lexsort((h, rank, words.line))
+        same = (h[order[1:]] == h[order[:-1]]) & (words.line[order[1:]] == words.line[order[:-1]])
+    order = order[np.append(True, ~same)[: len(order)]]
+    line = words.line[order]
+    start = np.flatnonzero(np.diff(line, prepend=-1))
+    return order[start], start, np.diff(np.append(start, len(line))), h[order]
+
+
+def _kept_words(n: np.ndarray) -> np.ndarray:
+    """So many words of a set go with its class: those that its lists may be named after."""
+    return np.where(n < LEAST_WORDS, 0, np.minimum(n, prefix_sizes(n) + MOST_KEYS - 1))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+
+
+def _first_ones(id0: np.ndarray, id1: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold the first place of their set; rows with later places of a set, each place once."""
+    order = np.lexsort((line, doc, id1, id0))
+    new_set = np.append(True, (id0[order[1:]] != id0[order[:-1]]) | (id1[order[1:]] != id1[order[:-1]]))[: len(order)]
+    new_place = np.append(True, (doc[order[1:]] != doc[order[:-1]]) | (line[order[1:]] != line[order[:-1]]))[: len(order)]
+    first = order[new_set]
+    return first, order[~new_set & new_place]
+
+
+def _class_payload(fixed: list[np.ndarray], words: np.ndarray) -> bytes:
+    return len(fixed[0]).to_bytes(8, "little") + b"".join(c.astype(k).tobytes() for c, k in zip(fixed, _CLASS, strict=True)) + words.tobytes()
+
+
+def _class_columns(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    parts, words = [], []
+    for p in blobs:
+        n, at, columns = int.from_bytes(p[:8], "little"), 8, []
+        for k in _CLASS:
+            columns.append(np.frombuffer(p, k, n, at))
+            at += n * np.dtype(k).itemsize
+        parts.append(columns)
+        words.append(np.frombuffer(p, "<u4", offset=at))
+    if not parts:
+        return [np.zeros(0, k) for k in _CLASS], np.zeros(0, "<u4")
+    return [np.concatenate([p[k] for p in parts]) for k in range(len(_CLASS))], np.concatenate(words)
+
+
+def classes_of(docs: DataFrame, rarity: Rarity) -> DataFrame:
+    """Rows of two kinds. payload: classes with their first places and rarest words. doc, line: places of later occurrences."""
+    n_parts = partitions(docs.sparkSession)
+
+    def sent(held) -> Iterator[pa.RecordBatch]:
+        columns, words = [np.concatenate([h[k] for h in held]) for k in range(6)], np.concatenate([h[6] for h in held])
+        sizes = _kept_words(columns[4])
+        starts = np.cumsum(sizes) - sizes
+        first, later = _first_ones(*columns[:4])
+        part = (columns[0][first] % np.uint64(n_parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        first, part = first[order], part[order]
+        begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        out = []
+        for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True):
+            rows = first[a:b]
+            out.append(_class_payload([c[rows] for c in columns], words[_runs(starts[rows], sizes[rows])]))
+        yield batch_of(part[begins], out)
+        places = [columns[2][later], columns[3][later]]
+        yield dealt((mixed(*places) % np.uint64(n_parts)).astype(np.int64) + n_parts, places)
 
     def run(batches):
-        known, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        held, size = [], 0
         for batch in batches:
-            hashes = _hashed(batch.column(1).to_pylist())[3]
-            total += len(hashes)
-            own, n = np.unique(hashes, return_counts=True)
-            known, back = np.unique(np.concatenate([known, own]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), len(known)).astype(np.int64)
-        often = counts >= max(2, FREQUENT * total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(known[often].astype(np.int64)), pa.array(counts[often]), pa.array(np.full(often.sum(), 0))], names=["word", "n", "words"]
-        )
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([total])], names=["word", "n", "words"])
-
-    found = written(docs.mapInArrow(run, "word long, n long, words long"), "line-words")
-    total = found.agg(F.sum("words")).first()[0] or 0
-    often = found.dropna().groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT * total).collect()
-    table = np.array([(r["word"], r["n"]) for r in often], np.int64).reshape(-1, 2)
-    hashes = table[:, 0].astype(np.uint64)
-    order = np.argsort(hashes)
-    return np.rec.fromarrays([hashes[order], table[order, 1]], names="word,n")
-
-
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes as a binary column."""
-    width = rows.shape[1] * rows.itemsize
-    offsets = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-
-
-def lines_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc, line, set_id, n (different words), prefix (32 bits of the hashes of the rarest words, the rarest first) and parity
-    (63 bits) of every line with a word. Two words with one key share a list, no more."""
+            for block in blocks(batch, 1):
+                found = words_of(block.column(1))
+                word, start, n, h = sets_of(found, rarity)
+                if not len(start):
+                    continue
+                halves = [np.add.reduceat((h ^ h >> np.uint64(29)) * m ^ h >> np.uint64(k), start) for m, k in ((np.uint64(0x9E3779B97F4A7C15), 31), (np.uint64(0xC2B2AE3D27D4EB4F), 27))]
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), start)
+                doc = block.column(0).to_numpy()[found.text[word]]
+                keys = (h[_runs(start, _kept_words(n))] >> np.uint64(32)).astype("<u4")
+                held.append([*halves, doc, found.number[word].astype(np.int32), n.astype(np.int32), parity, keys])
+                size += len(start) + len(keys) // 8
+                if size >= GATHERED:
+                    yield from sent(held)
+                    held, size = [], 0
+        if held:
+            yield from sent(held)
+
+    def merge(batches):
+        blobs = []
+        for batch in batches:
+            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part < n_parts:
+                    blobs.append(payload)
+                    continue
+                doc, line = gathered([payload], ["<i8", "<i4"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(line)], names=["payload", "doc", "line"])
+        columns, words = _class_columns(blobs)
+        first, later = _first_ones(*columns[:4])
+        places = [columns[2][later], columns[3][later]]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.binary()), pa.array(places[0]), pa.array(places[1])], names=["payload", "doc", "line"])
+        sizes = _kept_words(columns[4])
+        starts = np.cumsum(sizes) - sizes
+        for k in range(0, len(first), GATHERED):
+            rows = first[k : k + GATHERED]
+            blob = _class_payload([c[rows] for c in columns], words[_runs(starts[rows], sizes[rows])])
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=["payload", "doc", "line"])
+
+    return docs.mapInArrow(run, DEALT).repartitionById(n_parts, "part").mapInArrow(merge, "payload binary, doc long, line int")
+
+
+def listed(n: np.ndarray, starts: np.ndarray, words: np.ndarray, rarity: Rarity, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, key and place of the first word of each list that a set is in. Two similar sets meet in the list that the first
+    words which they share name: one word, or, where that list would be long, two to MOST_KEYS of them. Which depends on the
+    words alone, so both sets name the same."""
+    prefix = prefix_sizes(n)
+    own = np.repeat(np.arange(len(n)), prefix)
+    place = _runs(np.zeros(len(n), np.int64), prefix)
+    first, key, expected, out = place, np.zeros(len(own), np.uint32), np.full(len(own), float(rarity.n_lines)), []
+    for asked in range(1, MOST_KEYS + 1):
+        word = words[starts[own] + place]
+        key = (mixed(key, word) >> np.uint64(32)).astype(np.uint32) if asked > 1 else word
+        expected = expected * rarity.at_most[rarity.rank(word)] / rarity.n_lines
+        done = (expected <= long) | (asked == MOST_KEYS)
+        out.append((own[done], key[done], first[done]))
+        own, key, place, first, expected = own[~done], key[~done], place[~done], first[~done], expected[~done]
+        if not len(own):
+            break
+        more = prefix[own] + asked - place - 1  # places after this one where the next shared word can be
+        at = np.repeat(np.arange(len(own)), more)
+        place = _runs(place + 1, more)
+        own, key, first, expected = own[at], key[at], first[at], expected[at]
+    own, key, first = (np.concatenate(x) for x in zip(*out, strict=True))
+    return own, key, first
+
+
+def candidates(classes: DataFrame, rarity: Rarity, late: Marks | None = None, long: int = LONG) -> DataFrame:
+    """Pairs of places, doc and line of a class and late_doc and late_line of a later one, that the filters leave. Without late
+    each class's likeliest partner out of each list; with late every partner of the classes that it admits."""
+    n_parts = partitions(classes.sparkSession)
+    packed = classes.filter("payload is not null").select(F.lit(0).alias("part"), "payload")
+
+    def posts(batches):
+        for payload in payloads(batches):
+            columns, words = _class_columns([payload])
+            doc, line, n, parity = (c.astype(np.int64) if c.dtype.kind == "i" else c for c in columns[2:])
+            sizes = _kept_words(n)
+            starts, rows = np.cumsum(sizes) - sizes, np.flatnonzero(n >= LEAST_WORDS)
+            for k in range(0, len(rows), GATHERED // 8):
+                part = rows[k : k + GATHERED // 8]
+                own, key, place = listed(n[part], starts[part], words, rarity, long)
+                yield part[own], key, n, place, line, doc, parity
+
+    def sent(batches, wanted: Marks | None = None):
+        for own, key, n, place, line, doc, parity in posts(batches):
+            if wanted:
+                few = wanted.admits(mixed(key))
+                own, key, place = own[few], key[few], place[few]
+            post = [key, n[own], place, line[own], doc[own], parity[own]]
+            yield dealt((mixed(key) % np.uint64(n_parts)).astype(np.int64), [c.astype(k) for c, k in zip(post, _POST, strict=True)])
+
+    wanted = None
+    if late is not None:
+
+        def entries(batches):
+            for own, key, _, _, line, doc, _ in posts(batches):
+                at = np.unique(mixed(key[late.admits(mixed(doc[own], line[own]))]) % np.uint64(Marks.BITS)).astype(np.int64)
+                yield at, np.ones(len(at), np.int64)
+
+        wanted = Marks(summed(packed, entries, Marks.BITS))
+
+    def compare(batches):
+        key, *rest = gathered(payloads(batches), _POST)
+        order = np.argsort(key.astype(np.uint64) << np.uint64(32) | rest[0].astype(np.uint64))
+        key, rest = key[order], [c[order] for c in rest]
+        yield from _compared(key, *rest, late, long)
+
+    out = packed.mapInArrow(lambda b: sent(b, wanted), DEALT).repartitionById(n_parts, "part").mapInArrow(compare, _PAIRS)
+    found = written(out, "line-met")
+    pairs = found.filter("payload is null").drop("list", "chunk", "payload")
+    if not (chunks := found.filter("payload is not null")).isEmpty():
+        pairs = pairs.unionByName(_across(chunks, late))
+    if late is not None:
+        pairs = written(pairs.select(*_PLACES).distinct(), "line-pairs")
+    else:
+        best = pairs.groupBy("late_doc", "late_line").agg(F.min(F.struct("apart", "doc", "line")).alias("e"))
+        pairs = written(best.select("e.doc", "e.line", "late_doc", "late_line"), "line-pairs")
+    released(found)
+    return pairs
+
+
+_PAIRS = "apart int, doc long, line int, late_doc long, late_line int, list long, chunk int, payload binary"
+_PLACES = ["doc", "line", "late_doc", "late_line"]
+_MEMBER = ["<i4", "<i4", "<i4", "<i8", "<u8"]  # n, place, line, doc, parity
+#: Comparisons at a time.
+COMPARED = 1 << 21
+
+
+def _compared(key, n, place, line, doc, parity, late: Marks | None, long: int) -> Iterator[pa.RecordBatch]:
+    """The pairs within each list, which stand together, the smallest set first. A list of more than `long` members is handed on
+    in chunks, which other tasks compare two by two."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    sizes = np.diff(np.append(starts, len(key)))
+    for a, size in zip(starts[sizes > long], sizes[sizes > long], strict=True):
+        for k, b in enumerate(range(a, a + size, long)):
+            part = slice(b, min(b + long, a + size))
+            payload = b"".join(c[part].tobytes() for c in (n, place, line, doc, parity))
+            yield pa.RecordBatch.from_pydict(
+                {"apart": [0], "doc": [0], "line": [0], "late_doc": [0], "late_line": [0], "list": [int(key[a])], "chunk": [k], "payload": [payload]}, pa.schema(_ARROW)
+            )
+    # each member against the one k places on, while sets that large can be similar
+    small = np.flatnonzero(np.repeat(sizes <= long, sizes))
+    end = np.repeat(starts + sizes, sizes)[small]
+    left, right = [], []
+    i, k, waiting = small, 1, 0
+    while True:
+        alive = i + k < end
+        i, end = i[alive], end[alive]
+        alive = 100 * n[i].astype(np.int64) >= PERCENT * n[i + k].astype(np.int64)
+        i, end = i[alive], end[alive]
+        if not len(i):
+            break
+        good = _alike(i, i + k, n, place, parity)
+        left.append(i[good]), right.append(i[good] + k)
+        k, waiting = k + 1, waiting + len(left[-1])
+        if waiting >= COMPARED and late is not None:
+            yield _pairs(np.concatenate(left), np.concatenate(right), n, line, doc, parity, late)
+            left, right, waiting = [], [], 0
+    if left:
+        yield _pairs(np.concatenate(left), np.concatenate(right), n, line, doc, parity, late)
+
+
+def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Words that sets of n and m must share."""
+    return -(-PERCENT * (n.astype(np.int64) + m) // (100 + PERCENT))
+
+
+def _alike(i, j, n, place, parity) -> np.ndarray:
+    """Whether pairs of rows pass the positional filter, and differ in no more words than similar sets can."""
+    need = _need(n[i], n[j])
+    good = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
+    good[good] = np.bitwise_count(parity[i[good]] ^ parity[j[good]]) <= (n[i].astype(np.int64) + n[j] - 2 * need)[good]
+    return good
+
+
+_ARROW = [("apart", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("late_doc", pa.int64()), ("late_line", pa.int32()), ("list", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())]
+
+
+def _pairs(i, j, n, line, doc, parity, late: Marks | None) -> pa.RecordBatch:
+    """The pairs of rows with the later place last; without late only each later place's likeliest partner, by how far the
+    parities are within what similar sets can differ in."""
+    swap = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    if late is not None:
+        few = late.admits(mixed(doc[j], line[j]))
+        i, j = i[few], j[few]
+    apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) - (n[i].astype(np.int64) + n[j] - 2 * _need(n[i], n[j]))
+    if late is None:
+        order = np.lexsort((line[i], doc[i], apart, line[j], doc[j]))
+        i, j, apart = i[order], j[order], apart[order]
+        once = np.append(True, (doc[j[1:]] != doc[j[:-1]]) | (line[j[1:]] != line[j[:-1]]))[: len(j)]
+        i, j, apart = i[once], j[once], apart[once]
+    columns = [pa.array(c, t) for c, t in ((apart, pa.int32()), (doc[i], pa.int64()), (line[i], pa.int32()), (doc[j], pa.int64()), (line[j], pa.int32()))]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], schema=pa.schema(_ARROW))
+
+
+def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
+    """The pairs of lists that are handed on in chunks: any two chunks of a list meet in one task."""
+    counts = chunks.groupBy("list").agg(F.max("chunk").alias("last"))
+    met = chunks.join(counts, "list").selectExpr("list", "chunk", "payload", "explode(sequence(0, last)) as other")
+    keys = ["list", "low", "high"]
+    met = met.selectExpr("list", "least(chunk, other) as low", "greatest(chunk, other) as high", "payload")
 
     def run(batches):
+        held, last = [], None
         for batch in batches:
-            text, number, line, hashes = _hashed(batch.column(1).to_pylist())
-            order = np.lexsort((hashes, line))
-            line, hashes = line[order], hashes[order]
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-            line, hashes = line[new], hashes[new]
-            at = np.minimum(np.searchsorted(frequent.word, hashes), max(0, len(frequent) - 1))
-            rank = np.where(frequent.word[at] == hashes, frequent.n[at], 0) if len(frequent) else np.zeros(len(hashes), np.int64)
-            order = np.lexsort((hashes, rank, line))
-            hashes = hashes[order]
-            start = np.flatnonzero(np.diff(line, prepend=-1))
-            n = np.diff(np.append(start, len(line)))
-            if not len(start):
-                continue
-            ids = np.column_stack([np.add.reduceat((hashes ^ (hashes >> np.uint64(29))) * m ^ (hashes >> np.uint64(k)), start) for m, k in zip(_MIX, (31, 27), strict=True)])
-            parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (hashes >> np.uint64(32)) % np.uint64(63)), start).astype(np.int64)
-            size = n - -(-PERCENT * n // 100) + 1
-            place = np.arange(len(hashes)) - np.repeat(start, n)
-            inside = place < np.repeat(size, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(hashes[inside].astype(np.uint32).view(np.int32)))
-            doc = batch.column(0).take(pa.array(text[line[start]]))
-            columns = [doc, pa.array(number[line[start]].astype(np.int32)), _fixed(ids), pa.array(n.astype(np.int32)), prefix, pa.array(parity)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "set_id", "n", "prefix", "parity"])
-
-    return docs.mapInArrow(run, "doc long, line int, set_id binary, n int, prefix array<int>, parity long")
-
-
-def candidates(classes: DataFrame, open_places: DataFrame | None = None) -> DataFrame:
-    """Pairs of classes, by their first places (doc, line) and (late_doc, late_line), that the filters leave. Without open_places
-    only a class's earliest partner in each list; with open_places (late_doc, late_line) every partner of those. Sets so small
-    that one word more or less is too much are similar to equal ones only, which are one class: they need no partner."""
-    classes = classes.filter(f"100 * n >= {PERCENT} * (n + 1)")
-    posts = classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("place", "word"))
-    counted = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("members"))
-    every = open_places is not None
-    if every:
-        mine = open_places.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"), F.lit(True).alias("is_open"))
-        words = classes.join(mine, ["doc", "line"]).select(F.explode("prefix").alias("word")).distinct()
-        posts = posts.join(written(words, "line-open-words"), "word", "left_semi").join(mine, ["doc", "line"], "left")
-        posts = posts.withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-    else:
-        posts = posts.withColumn("is_open", F.lit(True))
-    # a table of its own, so that Spark knows its size: the long lists are few, or else this is a shuffled join
-    long_lists = written(counted.filter(F.col("members") > BLOCK).select("word", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "line-long-lists")
-    dealt = posts.join(long_lists, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.selectExpr("*", "cast(pmod(xxhash64(doc, line), blocks) as int) as own", "explode(sequence(0, blocks - 1)) as k")
-    met = dealt.selectExpr("word", "least(own, k) as first", "greatest(own, k) as second", "own", "doc", "line", "n", "place", "is_open", "parity")
-    keys = ["word", "first", "second"]
-    sorted_lists = met.repartition(*keys).sortWithinPartitions(*keys, "doc", "line")
-    out = sorted_lists.mapInArrow(partial(_compare, every=every), "doc long, line int, late_doc long, late_line int")
-    if every:
-        return out.distinct()
-    return out.groupBy("late_doc", "late_line").agg(F.min(F.struct("doc", "line")).alias("e")).select("e.doc", "e.line", "late_doc", "late_line")
-
-
-#: Postings compared at a time; lists stay whole, and have at most some multiple of BLOCK.
-COMPARED = 200_000
-
-
-def _compare(batches, every: bool):
-    held: list[list[np.ndarray]] = []
-    size = 0
-
-    def columns():
-        return [np.concatenate([h[k] for h in held]) for k in range(10)]
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-        if size >= COMPARED:
-            rows = columns()
-            last = np.flatnonzero(_starts(rows))[-1]
-            held = [[c[last:] for c in rows]]
-            size = len(rows[0]) - last
-            yield _found([c[:last] for c in rows], every)
-    if held:
-        yield _found(columns(), every)
-
-
-def _starts(rows: list[np.ndarray]) -> np.ndarray:
-    """Whether a list starts at a row."""
-    new = np.ones(len(rows[0]), bool)
-    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
-    return new
-
-
-def _found(rows: list[np.ndarray], every: bool) -> pa.RecordBatch:
-    """Pairs within the lists of the rows that the filters leave: each row against the one 1, 2, 3... places later."""
-    first, second, own, doc, line, n, place, is_open, parity = rows[1:]
-    n, place = n.astype(np.int64), place.astype(np.int64)
-    starts = np.flatnonzero(_starts(rows))
-    left = np.repeat(np.append(starts[1:], len(doc)), np.diff(np.append(starts, len(doc)))) - np.arange(len(doc))  # rows to the list's end
-    apart = first != second
-    early, late, i, k = [], [], np.flatnonzero(left > 1), 1
-    while len(i):
-        j = i + k
-        both = n[i] + n[j]
-        need = -(-PERCENT * both // (100 + PERCENT))
-        good = is_open[j] & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-        good &= np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need
-        good &= ~apart[i] | (own[i] != own[j])
-        early.append(i[good])
-        late.append(j[good])
-        k += 1
-        i = i[left[i] > k]
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (early, late))
-    if not every:  # each row's earliest partner
-        order = np.lexsort((i, j))
-        i, j = i[order], j[order]
-        once = np.ones(len(j), bool)
-        once[1:] = j[1:] != j[:-1]
-        i, j = i[once], j[once]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], line[i], doc[j], line[j])], names=["doc", "line", "late_doc", "late_line"])
+            for *key, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and key != last:
+                    yield from compared(held)
+                    held = []
+                last = key
+                held.append(payload)
+        if held:
+            yield from compared(held)
+
+    def compared(held):
+        n, place, line, doc, parity = gathered(held, _MEMBER)
+        half = len(gathered(held[:1], _MEMBER)[0])
+        left = np.arange(half)
+        for a in range(0, half, max(1, COMPARED // len(n))):
+            part = left[a : a + max(1, COMPARED // len(n))]
+            right = np.arange(half, len(n)) if len(held) > 1 else left
+            i, j = (x.ravel() for x in np.meshgrid(part, right, indexing="ij"))
+            if len(held) == 1:
+                i, j = i[i < j], j[i < j]
+            good = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= PERCENT * np.maximum(n[i], n[j]).astype(np.int64)
+            i, j = i[good], j[good]
+            good = _alike(i, j, n, place, parity)
+            yield _pairs(i[good], j[good], n, line, doc, parity, late)
+
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIRS).drop("list", "chunk", "payload")
+
+
+def _marks(pairs: DataFrame, *columns: str) -> Marks:
+    return Marks.of(pairs.select(*columns), lambda batch: mixed(*(c.to_numpy() for c in batch.columns)))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """late_doc and late_line of the pairs whose word sets are similar."""
-    early, late = pairs.select("doc", "line"), pairs.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"))
-    places = early.unionByName(late).distinct()
-    lines = places.hint("shuffle_hash").join(docs.toDF("doc", "text"), "doc").select("doc", "line", F.get(F.split("text", "\n"), "line").alias("words"))
-    lines = written(lines.dropDuplicates(["doc", "line"]), "line-texts")
-    both = pairs.join(lines, ["doc", "line"]).join(lines.toDF("late_doc", "late_line", "late_words"), ["late_doc", "late_line"])
+    """late_doc and late_line of the pairs whose word sets are similar, counted on the words of the whole lines."""
+    places = pairs.select("doc", "line").unionByName(pairs.selectExpr("late_doc as doc", "late_line as line"))
+    in_docs, in_lines = _marks(places, "doc"), _marks(places, "doc", "line")
 
     def run(batches):
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = set(words_of(a)), set(words_of(b))
-                good.append(100 * len(x & y) >= PERCENT * len(x | y))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("late_doc", "late_line", "words", "late_words").mapInArrow(run, "late_doc long, late_line int").distinct()
-
-
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
+            batch = batch.filter(pa.array(in_docs.admits(mixed(batch.column(0).to_numpy()))))
+            for block in blocks(batch, 1):
+                words = words_of(block.column(1))
+                doc = block.column(0).to_numpy()[words.text]
+                few = in_lines.admits(mixed(doc, words.number))
+                doc, number, line, h = doc[few], words.number[few], words.line[few], words.hashes[few]
+                start = np.flatnonzero(np.diff(line, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(line)), pa.int32()), pa.array(h.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(number[start].astype(np.int32)), lists], names=["doc", "line", "words"])
+
+    sets = docs.mapInArrow(run, "doc long, line int, words array<long>").withColumn("words", F.array_distinct("words"))
+    sets = written(sets, "line-sets")
+    both = pairs.join(sets, ["doc", "line"]).join(sets.toDF("late_doc", "late_line", "late_words"), ["late_doc", "late_line"])
+    shared = F.size(F.array_intersect("words", "late_words"))
+    good = both.filter(100 * shared >= PERCENT * (F.size("words") + F.size("late_words") - shared)).select("late_doc", "late_line")
+    out = written(good.distinct(), "line-gone")
+    released(sets)
+    return out
+
+
+def removals(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
     """doc_id and removed: the numbers of its lines that go, of every document that loses a line."""
     small_batches(docs.sparkSession)
     source = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"cast(`{text}` as string) as text").filter("doc_id is not null")
-    frequent = frequent_words(source)
-    # twice from the texts: once with what the join needs, for the first of equal lines only, once without
-    first = lines_of(source, frequent).groupBy("set_id").agg(F.min(F.struct("doc", "line", "n", "prefix", "parity")).alias("c"))
-    classes = written(first.select("set_id", "c.*"), "line-classes")
-    found = written(candidates(classes), "line-pairs")
-    gone = written(verified(found, source), "line-gone")
-    left = found.select("late_doc", "late_line").join(gone, ["late_doc", "late_line"], "left_anti")
+    rarity = Rarity.of(source)
+    classes = written(classes_of(source, rarity), "line-classes")
+    found = candidates(classes, rarity, long=long)
+    gone = verified(found, source)
+    # where the likeliest partner failed, others may not
+    left = written(found.select("late_doc", "late_line").join(gone, ["late_doc", "late_line"], "left_anti"), "line-left")
+    tables = [classes, found, gone, left]
     if not left.isEmpty():
-        more = candidates(classes, left).join(found, found.columns, "left_anti")
-        gone = gone.unionByName(written(verified(written(more, "line-pairs"), source), "line-gone"))
-    similar = gone.select(F.col("late_doc").alias("doc"), F.col("late_line").alias("line"), F.lit(True).alias("gone"))
-    fate = classes.select("set_id", "doc", "line").join(similar, ["doc", "line"], "left").toDF("first_doc", "first_line", "set_id", "gone")
-    lines = lines_of(source, frequent).select("set_id", "doc", "line")
-    lost = lines.join(fate, "set_id").filter("gone or doc <> first_doc or line <> first_line")
-    return lost.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+        more = candidates(classes, rarity, _marks(left, "late_doc", "late_line"), long)
+        also = verified(more.join(left, ["late_doc", "late_line"], "left_semi").join(found, _PLACES, "left_anti"), source)
+        tables += [more, also]
+        gone = gone.unionByName(also)
+    lost = classes.filter("payload is null").select("doc", "line").unionByName(gone.toDF("doc", "line"))
+    out = written(lost.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-removals")
+    released(*tables)
+    return out
 
 
-def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
     """docs with the repeated lines taken out of text, and removed (their numbers; null where none), in
     place of a column of that name. Lines without a word
     stay, as do null and empty texts. The first of equal or similar lines, by doc_id and line
-    number, stays, whether or not its own similar lines went. doc_id is a key: repeated rows of a document are one document
+    number, stays, whether or not its own similar lines went. Texts of any length are worked on whole. doc_id is a key:
+    repeated rows of a document are one document
     and all keep the same lines; rows without doc_id are left alone."""
-    lost = written(removals(docs, text), "line-removals")
+    lost = removals(docs, text, long)
     names = [c for c in docs.columns if c != "removed"]
     other = "doc_id" + "_" * max(map(len, names))  # a name that docs doesn't have
     joined = docs.join(lost.hint("shuffle_hash").withColumnRenamed("doc_id", other), F.col("doc_id") == F.col(other), "left").select(*(docs[c] for c in names), lost["removed"])
