@@ -26,7 +26,7 @@ def dealt(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     columns, part = [c[order] for c in columns], part[order]
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
-    payload = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True)]
+    payload = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(starts, np.append(starts[1:], len(part))[: len(starts)], strict=True)]
     return batch_of(part[starts], payload)
 
 
