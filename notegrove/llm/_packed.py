@@ -45,6 +45,38 @@ def gathered(payloads: Iterable[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
+def ragged(fixed: list[np.ndarray], kinds: list[str], flat: np.ndarray) -> bytes:
+    """Columns, and a run of the flat array for each row, as bytes."""
+    return len(fixed[0]).to_bytes(8, "little") + b"".join(c.astype(k, copy=False).tobytes() for c, k in zip(fixed, kinds, strict=True)) + flat.tobytes()
+
+
+def unragged(blobs: Iterable[bytes], kinds: list[str], flat: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns and the flat arrays of all blobs together."""
+    parts, flats = [], [np.zeros(0, flat)]
+    for p in blobs:
+        n, at = int.from_bytes(p[:8], "little"), 8
+        parts.append(undealt(p[at : at + n * sum(np.dtype(k).itemsize for k in kinds)], kinds))
+        flats.append(np.frombuffer(p, flat, offset=at + n * sum(np.dtype(k).itemsize for k in kinds)))
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)], np.concatenate(flats)
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+
+
+def dealt_ragged(part: np.ndarray, fixed: list[np.ndarray], kinds: list[str], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """One row for each part that occurs, with its rows of the columns and their runs of flat."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    out = []
+    for a, b in zip(begins, np.append(begins[1:], len(part))[: len(begins)], strict=True):
+        rows = order[a:b]
+        out.append(ragged([c[rows] for c in fixed], kinds, flat[runs(starts[rows], sizes[rows])]))
+    return batch_of(part[begins], out)
+
+
 def payloads(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
     for batch in batches:
         yield from batch.column(batch.schema.get_field_index("payload")).to_pylist()
@@ -91,12 +123,12 @@ class Marks:
 
     @classmethod
     def of(cls, df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> Marks:
-        def entries(batches):
-            for batch in batches:
-                at = np.unique(hashes(batch) % np.uint64(cls.BITS)).astype(np.int64)
-                yield at, np.ones(len(at), np.int64)
+        return cls(summed(df, lambda batches: (cls.entries(hashes(batch)) for batch in batches), cls.BITS))
 
-        return cls(summed(df, entries, cls.BITS))
+    @classmethod
+    def entries(cls, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.unique(hashes % np.uint64(cls.BITS)).astype(np.int64)
+        return at, np.ones(len(at), np.int64)
 
     def admits(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes % np.uint64(self.BITS)
@@ -112,6 +144,3 @@ def mixed(*columns: np.ndarray) -> np.ndarray:
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
     return h
-
-
-__all__ = ["DEALT", "Marks", "batch_of", "dealt", "gathered", "mixed", "partitions", "payloads", "summed", "undealt"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import released, small_batches, written
-from ._packed import DEALT, Marks, batch_of, dealt, gathered, mixed, partitions, payloads, summed
+from ._packed import DEALT, Marks, dealt, dealt_ragged, gathered, mixed, partitions, payloads, ragged, runs, summed, unragged
 from ._words import Words, blocks, words_of
 
 #: Lines are similar if 100 * intersection >= PERCENT * union.
@@ -34,8 +34,9 @@ MOST_KEYS = LEAST_WORDS
 #: Records that a task gathers before it sends them.
 GATHERED = 200_000
 
-_CLASS = ["<u8", "<u8", "<i8", "<i4", "<i4", "<u8"]  # two halves of the set's hash, doc, line, n, parity
-_POST = ["<u4", "<i4", "<i4", "<i4", "<i8", "<u8"]  # key, n, place, line, doc, parity
+_CLASS = ["<u8", "<u8", "<i8", "<i4", "<i4", "<u8", "<u8"]  # two halves of the set's hash, doc, line, n, two halves of the parity
+_MEMBER = ["<i4", "<i4", "<i4", "<i8", "<u8", "<u8"]  # n, place, line, doc, two halves of the parity
+_POST = ["<u4", *_MEMBER]  # with the list's key
 
 
 def prefix_sizes(n: np.ndarray) -> np.ndarray:
@@ -97,11 +98,6 @@ def _kept_words(n: np.ndarray) -> np.ndarray:
     return np.where(n < LEAST_WORDS, 0, np.minimum(n, prefix_sizes(n) + MOST_KEYS - 1))
 
 
-def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of all runs, one run after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)
-
-
 def _first_ones(id0: np.ndarray, id1: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that hold the first place of their set; rows with later places of a set, each place once."""
     order = np.lexsort((line, doc, id1, id0))
@@ -111,22 +107,11 @@ def _first_ones(id0: np.ndarray, id1: np.ndarray, doc: np.ndarray, line: np.ndar
     return first, order[~new_set & new_place]
 
 
-def _class_payload(fixed: list[np.ndarray], words: np.ndarray) -> bytes:
-    return len(fixed[0]).to_bytes(8, "little") + b"".join(c.astype(k).tobytes() for c, k in zip(fixed, _CLASS, strict=True)) + words.tobytes()
-
-
-def _class_columns(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    parts, words = [], []
-    for p in blobs:
-        n, at, columns = int.from_bytes(p[:8], "little"), 8, []
-        for k in _CLASS:
-            columns.append(np.frombuffer(p, k, n, at))
-            at += n * np.dtype(k).itemsize
-        parts.append(columns)
-        words.append(np.frombuffer(p, "<u4", offset=at))
-    if not parts:
-        return [np.zeros(0, k) for k in _CLASS], np.zeros(0, "<u4")
-    return [np.concatenate([p[k] for p in parts]) for k in range(len(_CLASS))], np.concatenate(words)
+def _hashes_of(h: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Two halves of a hash of each set, and of the parities of how many of its words have each of 128 hashes."""
+    halves = [np.add.reduceat((h ^ h >> np.uint64(29)) * m ^ h >> np.uint64(k), start) for m, k in ((np.uint64(0x9E3779B97F4A7C15), 31), (np.uint64(0xC2B2AE3D27D4EB4F), 27))]
+    bit, high = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)).astype(bool)
+    return halves + [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), start) for side in (~high, high)]
 
 
 def classes_of(docs: DataFrame, rarity: Rarity) -> DataFrame:
@@ -134,19 +119,11 @@ def classes_of(docs: DataFrame, rarity: Rarity) -> DataFrame:
     n_parts = partitions(docs.sparkSession)
 
     def sent(held) -> Iterator[pa.RecordBatch]:
-        columns, words = [np.concatenate([h[k] for h in held]) for k in range(6)], np.concatenate([h[6] for h in held])
+        columns, words = [np.concatenate([h[k] for h in held]) for k in range(7)], np.concatenate([h[7] for h in held])
         sizes = _kept_words(columns[4])
-        starts = np.cumsum(sizes) - sizes
         first, later = _first_ones(*columns[:4])
-        part = (columns[0][first] % np.uint64(n_parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        first, part = first[order], part[order]
-        begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        out = []
-        for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True):
-            rows = first[a:b]
-            out.append(_class_payload([c[rows] for c in columns], words[_runs(starts[rows], sizes[rows])]))
-        yield batch_of(part[begins], out)
+        part = (columns[0][first] % np.uint64(n_parts)).astype(np.int64)
+        yield dealt_ragged(part, [c[first] for c in columns], _CLASS, words, (np.cumsum(sizes) - sizes)[first], sizes[first])
         places = [columns[2][later], columns[3][later]]
         yield dealt((mixed(*places) % np.uint64(n_parts)).astype(np.int64) + n_parts, places)
 
@@ -158,11 +135,10 @@ def classes_of(docs: DataFrame, rarity: Rarity) -> DataFrame:
                 word, start, n, h = sets_of(found, rarity)
                 if not len(start):
                     continue
-                halves = [np.add.reduceat((h ^ h >> np.uint64(29)) * m ^ h >> np.uint64(k), start) for m, k in ((np.uint64(0x9E3779B97F4A7C15), 31), (np.uint64(0xC2B2AE3D27D4EB4F), 27))]
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), start)
+                id0, id1, low, high = _hashes_of(h, start)
                 doc = block.column(0).to_numpy()[found.text[word]]
-                keys = (h[_runs(start, _kept_words(n))] >> np.uint64(32)).astype("<u4")
-                held.append([*halves, doc, found.number[word].astype(np.int32), n.astype(np.int32), parity, keys])
+                keys = (h[runs(start, _kept_words(n))] >> np.uint64(32)).astype("<u4")
+                held.append([id0, id1, doc, found.number[word].astype(np.int32), n.astype(np.int32), low, high, keys])
                 size += len(start) + len(keys) // 8
                 if size >= GATHERED:
                     yield from sent(held)
@@ -179,7 +155,7 @@ def classes_of(docs: DataFrame, rarity: Rarity) -> DataFrame:
                     continue
                 doc, line = gathered([payload], ["<i8", "<i4"])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(line)], names=["payload", "doc", "line"])
-        columns, words = _class_columns(blobs)
+        columns, words = unragged(blobs, _CLASS, "<u4")
         first, later = _first_ones(*columns[:4])
         places = [columns[2][later], columns[3][later]]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.binary()), pa.array(places[0]), pa.array(places[1])], names=["payload", "doc", "line"])
@@ -187,7 +163,7 @@ def classes_of(docs: DataFrame, rarity: Rarity) -> DataFrame:
         starts = np.cumsum(sizes) - sizes
         for k in range(0, len(first), GATHERED):
             rows = first[k : k + GATHERED]
-            blob = _class_payload([c[rows] for c in columns], words[_runs(starts[rows], sizes[rows])])
+            blob = ragged([c[rows] for c in columns], _CLASS, words[runs(starts[rows], sizes[rows])])
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=["payload", "doc", "line"])
 
     return docs.mapInArrow(run, DEALT).repartitionById(n_parts, "part").mapInArrow(merge, "payload binary, doc long, line int")
@@ -199,7 +175,7 @@ def listed(n: np.ndarray, starts: np.ndarray, words: np.ndarray, rarity: Rarity,
     words alone, so both sets name the same."""
     prefix = prefix_sizes(n)
     own = np.repeat(np.arange(len(n)), prefix)
-    place = _runs(np.zeros(len(n), np.int64), prefix)
+    place = runs(np.zeros(len(n), np.int64), prefix)
     first, key, expected, out = place, np.zeros(len(own), np.uint32), np.full(len(own), float(rarity.n_lines)), []
     for asked in range(1, MOST_KEYS + 1):
         word = words[starts[own] + place]
@@ -212,140 +188,195 @@ def listed(n: np.ndarray, starts: np.ndarray, words: np.ndarray, rarity: Rarity,
             break
         more = prefix[own] + asked - place - 1  # places after this one where the next shared word can be
         at = np.repeat(np.arange(len(own)), more)
-        place = _runs(place + 1, more)
+        place = runs(place + 1, more)
         own, key, first, expected = own[at], key[at], first[at], expected[at]
     own, key, first = (np.concatenate(x) for x in zip(*out, strict=True))
     return own, key, first
 
 
-def candidates(classes: DataFrame, rarity: Rarity, late: Marks | None = None, long: int = LONG) -> DataFrame:
-    """Pairs of places, doc and line of a class and late_doc and late_line of a later one, that the filters leave. Without late
-    each class's likeliest partner out of each list; with late every partner of the classes that it admits."""
-    n_parts = partitions(classes.sparkSession)
-    packed = classes.filter("payload is not null").select(F.lit(0).alias("part"), "payload")
-
-    def posts(batches):
-        for payload in payloads(batches):
-            columns, words = _class_columns([payload])
-            doc, line, n, parity = (c.astype(np.int64) if c.dtype.kind == "i" else c for c in columns[2:])
-            sizes = _kept_words(n)
-            starts, rows = np.cumsum(sizes) - sizes, np.flatnonzero(n >= LEAST_WORDS)
-            for k in range(0, len(rows), GATHERED // 8):
-                part = rows[k : k + GATHERED // 8]
-                own, key, place = listed(n[part], starts[part], words, rarity, long)
-                yield part[own], key, n, place, line, doc, parity
-
-    def sent(batches, wanted: Marks | None = None):
-        for own, key, n, place, line, doc, parity in posts(batches):
-            if wanted:
+def _posts(batches, rarity: Rarity, long: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Key and member columns of the classes in each of their lists."""
+    for payload in payloads(batches):
+        columns, words = unragged([payload], _CLASS, "<u4")
+        doc, line, n, *parity = columns[2:]
+        n = n.astype(np.int64)
+        sizes = _kept_words(n)
+        starts, rows = np.cumsum(sizes) - sizes, np.flatnonzero(n >= LEAST_WORDS)
+        for k in range(0, len(rows), GATHERED // 8):
+            part = rows[k : k + GATHERED // 8]
+            own, key, place = listed(n[part], starts[part], words, rarity, long)
+            own = part[own]
+            yield key, n[own], place, line[own], doc[own], *(p[own] for p in parity)
+
+
+class Lists:
+    """What a list is named after, and how its members are dealt and compared."""
+
+    def __init__(self, classes: DataFrame, rarity: Rarity, long: int):
+        self.packed = classes.filter("payload is not null").select(F.lit(0).alias("part"), "payload")
+        self.rarity, self.long, self.n_parts = rarity, long, partitions(classes.sparkSession)
+
+    def likeliest(self) -> DataFrame:
+        """For each class that has a partner before it by all filters, the likeliest: doc, line, late_doc, late_line, and more
+        (whether there are others)."""
+        rarity, n_parts, long = self.rarity, self.n_parts, self.long
+
+        def sent(batches):
+            for key, *member in _posts(batches, rarity, long):
+                yield dealt((mixed(key) % np.uint64(n_parts)).astype(np.int64), [c.astype(k, copy=False) for c, k in zip((key, *member), _POST, strict=True)])
+
+        def compare(batches):
+            key, *member = gathered(payloads(batches), _POST)
+            yield from _compared(key, Members(member), None, long)
+
+        met = self._met(self.packed.mapInArrow(sent, DEALT).repartitionById(n_parts, "part").mapInArrow(compare, _PAIRS), None)
+        place = F.struct("doc", "line")
+        best = met.groupBy("late_doc", "late_line").agg(F.min(F.struct("apart", "doc", "line")).alias("e"), F.min(place).alias("least"), F.max(place).alias("most"), F.max("others").alias("others"))
+        out = written(best.select("e.doc", "e.line", "late_doc", "late_line", (F.col("others") | (F.col("least") != F.col("most"))).alias("more")), "line-pairs")
+        released(met)
+        return out
+
+    def verified(self, late: Marks, docs: DataFrame) -> DataFrame:
+        """late_doc and late_line of the classes admitted by late that have a similar one before them, whichever it is: the lists
+        with such classes are made once more, with the whole sets of all members, and compared to the end."""
+        rarity, n_parts, long = self.rarity, self.n_parts, self.long
+
+        def keys(batches):
+            for key, _, _, line, doc, *_ in _posts(batches, rarity, long):
+                yield Marks.entries(mixed(key[late.admits(mixed(doc, line))]))
+
+        wanted = Marks(summed(self.packed, keys, Marks.BITS))
+
+        def places(batches):
+            for key, _, _, line, doc, *_ in _posts(batches, rarity, long):
                 few = wanted.admits(mixed(key))
-                own, key, place = own[few], key[few], place[few]
-            post = [key, n[own], place, line[own], doc[own], parity[own]]
-            yield dealt((mixed(key) % np.uint64(n_parts)).astype(np.int64), [c.astype(k) for c, k in zip(post, _POST, strict=True)])
+                yield Marks.entries(np.append(mixed(doc[few], line[few]), mixed(doc[few])))
 
-    wanted = None
-    if late is not None:
+        members = Marks(summed(self.packed, places, Marks.BITS))
 
-        def entries(batches):
-            for own, key, _, _, line, doc, _ in posts(batches):
-                at = np.unique(mixed(key[late.admits(mixed(doc[own], line[own]))]) % np.uint64(Marks.BITS)).astype(np.int64)
-                yield at, np.ones(len(at), np.int64)
-
-        wanted = Marks(summed(packed, entries, Marks.BITS))
-
-    def compare(batches):
-        key, *rest = gathered(payloads(batches), _POST)
-        order = np.argsort(key.astype(np.uint64) << np.uint64(32) | rest[0].astype(np.uint64))
-        key, rest = key[order], [c[order] for c in rest]
-        yield from _compared(key, *rest, late, long)
-
-    out = packed.mapInArrow(lambda b: sent(b, wanted), DEALT).repartitionById(n_parts, "part").mapInArrow(compare, _PAIRS)
-    found = written(out, "line-met")
-    pairs = found.filter("payload is null").drop("list", "chunk", "payload")
-    if not (chunks := found.filter("payload is not null")).isEmpty():
-        pairs = pairs.unionByName(_across(chunks, late))
-    if late is not None:
-        pairs = written(pairs.select(*_PLACES).distinct(), "line-pairs")
-    else:
-        best = pairs.groupBy("late_doc", "late_line").agg(F.min(F.struct("apart", "doc", "line")).alias("e"))
-        pairs = written(best.select("e.doc", "e.line", "late_doc", "late_line"), "line-pairs")
-    released(found)
-    return pairs
-
-
-_PAIRS = "apart int, doc long, line int, late_doc long, late_line int, list long, chunk int, payload binary"
-_PLACES = ["doc", "line", "late_doc", "late_line"]
-_MEMBER = ["<i4", "<i4", "<i4", "<i8", "<u8"]  # n, place, line, doc, parity
+        def sent(batches):
+            for number, doc, n, start, h in _marked_sets(batches, members, rarity):
+                parity = _hashes_of(h, start)[2:]
+                able = np.flatnonzero(n >= LEAST_WORDS)
+                own, key, place = listed(n[able], start[able], (h >> np.uint64(32)).astype("<u4"), rarity, long)
+                few = wanted.admits(mixed(key))
+                own, key, place = able[own[few]], key[few], place[few]
+                part = (mixed(key) % np.uint64(n_parts)).astype(np.int64)
+                yield dealt_ragged(part, [key, n[own], place, number[own], doc[own], *(p[own] for p in parity)], _POST, h, start[own], n[own])
+
+        def compare(batches):
+            (key, *member), sets = unragged(payloads(batches), _POST, "<u8")
+            yield from _compared(key, Members(member, sets), late, long)
+
+        met = self._met(docs.mapInArrow(sent, DEALT).repartitionById(n_parts, "part").mapInArrow(compare, _PAIRS), late)
+        out = written(met.select("late_doc", "late_line").distinct(), "line-gone")
+        released(met)
+        return out
+
+    def _met(self, found: DataFrame, late: Marks | None) -> DataFrame:
+        """What the comparison of whole lists found, with what is found across the chunks of longer ones."""
+        found = written(found, "line-met")
+        chunks = found.filter("payload is not null")
+        if chunks.isEmpty():
+            return found
+        out = written(found.filter("payload is null").unionByName(_across(chunks, late)), "line-met")
+        released(found)
+        return out
+
+
+_PAIRS = "apart int, doc long, line int, late_doc long, late_line int, others boolean, list long, chunk int, payload binary"
+_ARROW = pa.schema(
+    [("apart", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("late_doc", pa.int64()), ("late_line", pa.int32()), ("others", pa.bool_())]
+    + [("list", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())]
+)
 #: Comparisons at a time.
-COMPARED = 1 << 21
+COMPARED = 1 << 20
 
 
-def _compared(key, n, place, line, doc, parity, late: Marks | None, long: int) -> Iterator[pa.RecordBatch]:
-    """The pairs within each list, which stand together, the smallest set first. A list of more than `long` members is handed on
-    in chunks, which other tasks compare two by two."""
+class Members:
+    """Members of lists, perhaps with their whole sets."""
+
+    def __init__(self, columns: list[np.ndarray], sets: np.ndarray | None = None):
+        self.columns, self.sets = columns, sets
+        self.n, self.place, self.line, self.doc, self.low, self.high = columns
+        self.n = self.n.astype(np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+
+    def taken(self, rows: np.ndarray) -> Members:
+        return Members([c[rows] for c in self.columns], None if self.sets is None else self.sets[runs(self.starts[rows], self.n[rows])])
+
+    def packed(self) -> bytes:
+        return ragged(self.columns, _MEMBER, np.zeros(0, "<u8") if self.sets is None else self.sets)
+
+    @classmethod
+    def of(cls, blobs: list[bytes], whole: bool) -> Members:
+        columns, sets = unragged(blobs, _MEMBER, "<u8")
+        return cls(columns, sets if whole else None)
+
+    def spare(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Words that the sets of the rows may differ in and be similar, less those in which they do at least."""
+        both = self.n[i] + self.n[j]
+        return both - 2 * -(-PERCENT * both // (100 + PERCENT)) - np.bitwise_count(self.low[i] ^ self.low[j]) - np.bitwise_count(self.high[i] ^ self.high[j])
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows that pass the positional filter and that of the parities."""
+        need = -(-PERCENT * (self.n[i] + self.n[j]) // (100 + PERCENT))
+        good = np.minimum(self.n[i] - self.place[i], self.n[j] - self.place[j]) >= need
+        i, j = i[good], j[good]
+        good = self.spare(i, j) >= 0
+        return i[good], j[good]
+
+    def similar(self, i: int, j: int) -> bool:
+        a, b = (self.sets[self.starts[k] : self.starts[k] + self.n[k]] for k in (i, j))
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+    def pairs(self, i: np.ndarray, j: np.ndarray, late: Marks | None) -> pa.RecordBatch:
+        """Of pairs of rows, for each later place its likeliest partner, and whether there are others; with late, for those that it
+        admits a partner that is similar."""
+        doc, line = self.doc, self.line
+        swap = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        if late is not None:
+            few = late.admits(mixed(doc[j], line[j]))
+            i, j = i[few], j[few]
+        spare = self.spare(i, j)
+        order = np.lexsort((line[i], doc[i], -spare, line[j], doc[j]))
+        i, j, spare = i[order], j[order], spare[order]
+        start = np.flatnonzero(np.append(True, (doc[j[1:]] != doc[j[:-1]]) | (line[j[1:]] != line[j[:-1]]))[: len(j)])
+        ends = np.append(start[1:], len(j))[: len(start)]
+        if late is not None:
+            found = (next((k for k in range(a, b) if self.similar(i[k], j[k])), None) for a, b in zip(start, ends, strict=True))
+            start = ends = np.array([k for k in found if k is not None], np.int64)
+        others = pa.array(ends - start > 1)
+        i, j, spare = i[start], j[start], spare[start]
+        columns = [pa.array(c, t) for c, t in ((-spare, pa.int32()), (doc[i], pa.int64()), (line[i], pa.int32()), (doc[j], pa.int64()), (line[j], pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, others, pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], schema=_ARROW)
+
+
+def _compared(key: np.ndarray, members: Members, late: Marks | None, long: int) -> Iterator[pa.RecordBatch]:
+    """The pairs within each list. A list of more than `long` members is handed on in chunks, which other tasks compare two by two."""
+    order = np.argsort(key.astype(np.uint64) << np.uint64(32) | members.n.astype(np.uint64))
+    key, members = key[order], members.taken(order)
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     sizes = np.diff(np.append(starts, len(key)))
     for a, size in zip(starts[sizes > long], sizes[sizes > long], strict=True):
         for k, b in enumerate(range(a, a + size, long)):
-            part = slice(b, min(b + long, a + size))
-            payload = b"".join(c[part].tobytes() for c in (n, place, line, doc, parity))
-            yield pa.RecordBatch.from_pydict(
-                {"apart": [0], "doc": [0], "line": [0], "late_doc": [0], "late_line": [0], "list": [int(key[a])], "chunk": [k], "payload": [payload]}, pa.schema(_ARROW)
-            )
-    # each member against the one k places on, while sets that large can be similar
-    small = np.flatnonzero(np.repeat(sizes <= long, sizes))
-    end = np.repeat(starts + sizes, sizes)[small]
-    left, right = [], []
-    i, k, waiting = small, 1, 0
-    while True:
-        alive = i + k < end
-        i, end = i[alive], end[alive]
-        alive = 100 * n[i].astype(np.int64) >= PERCENT * n[i + k].astype(np.int64)
-        i, end = i[alive], end[alive]
-        if not len(i):
-            break
-        good = _alike(i, i + k, n, place, parity)
-        left.append(i[good]), right.append(i[good] + k)
-        k, waiting = k + 1, waiting + len(left[-1])
-        if waiting >= COMPARED and late is not None:
-            yield _pairs(np.concatenate(left), np.concatenate(right), n, line, doc, parity, late)
+            blob = members.taken(np.arange(b, min(b + long, a + size))).packed()
+            row = {"apart": [0], "doc": [0], "line": [0], "late_doc": [0], "late_line": [0], "others": [None], "list": [int(key[a])], "chunk": [k], "payload": [blob]}
+            yield pa.RecordBatch.from_pydict(row, _ARROW)
+    # each member against the one k places on, while a set that large can be similar
+    i, end, n = np.flatnonzero(np.repeat(sizes <= long, sizes)), np.repeat(starts + sizes, sizes), members.n
+    left, right, k, waiting = [], [], 1, 0
+    while len(i):
+        i = i[i + k < end[i]]
+        i = i[100 * n[i] >= PERCENT * n[i + k]]
+        a, b = members.alike(i, i + k)
+        left.append(a), right.append(b)
+        k, waiting = k + 1, waiting + len(a)
+        if waiting >= COMPARED or not len(i):
+            yield members.pairs(np.concatenate(left), np.concatenate(right), late)
             left, right, waiting = [], [], 0
-    if left:
-        yield _pairs(np.concatenate(left), np.concatenate(right), n, line, doc, parity, late)
-
-
-def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Words that sets of n and m must share."""
-    return -(-PERCENT * (n.astype(np.int64) + m) // (100 + PERCENT))
-
-
-def _alike(i, j, n, place, parity) -> np.ndarray:
-    """Whether pairs of rows pass the positional filter, and differ in no more words than similar sets can."""
-    need = _need(n[i], n[j])
-    good = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
-    good[good] = np.bitwise_count(parity[i[good]] ^ parity[j[good]]) <= (n[i].astype(np.int64) + n[j] - 2 * need)[good]
-    return good
-
-
-_ARROW = [("apart", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("late_doc", pa.int64()), ("late_line", pa.int32()), ("list", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())]
-
-
-def _pairs(i, j, n, line, doc, parity, late: Marks | None) -> pa.RecordBatch:
-    """The pairs of rows with the later place last; without late only each later place's likeliest partner, by how far the
-    parities are within what similar sets can differ in."""
-    swap = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    if late is not None:
-        few = late.admits(mixed(doc[j], line[j]))
-        i, j = i[few], j[few]
-    apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) - (n[i].astype(np.int64) + n[j] - 2 * _need(n[i], n[j]))
-    if late is None:
-        order = np.lexsort((line[i], doc[i], apart, line[j], doc[j]))
-        i, j, apart = i[order], j[order], apart[order]
-        once = np.append(True, (doc[j[1:]] != doc[j[:-1]]) | (line[j[1:]] != line[j[:-1]]))[: len(j)]
-        i, j, apart = i[once], j[once], apart[once]
-    columns = [pa.array(c, t) for c, t in ((apart, pa.int32()), (doc[i], pa.int64()), (line[i], pa.int32()), (doc[j], pa.int64()), (line[j], pa.int32()))]
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], schema=pa.schema(_ARROW))
 
 
 def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
@@ -368,43 +399,46 @@ def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
             yield from compared(held)
 
     def compared(held):
-        n, place, line, doc, parity = gathered(held, _MEMBER)
-        half = len(gathered(held[:1], _MEMBER)[0])
+        members, half = Members.of(held, late is not None), len(Members.of(held[:1], False).n)
         left = np.arange(half)
-        for a in range(0, half, max(1, COMPARED // len(n))):
-            part = left[a : a + max(1, COMPARED // len(n))]
-            right = np.arange(half, len(n)) if len(held) > 1 else left
-            i, j = (x.ravel() for x in np.meshgrid(part, right, indexing="ij"))
-            if len(held) == 1:
-                i, j = i[i < j], j[i < j]
-            good = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= PERCENT * np.maximum(n[i], n[j]).astype(np.int64)
-            i, j = i[good], j[good]
-            good = _alike(i, j, n, place, parity)
-            yield _pairs(i[good], j[good], n, line, doc, parity, late)
-
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIRS).drop("list", "chunk", "payload")
-
-
-def _marks(pairs: DataFrame, *columns: str) -> Marks:
-    return Marks.of(pairs.select(*columns), lambda batch: mixed(*(c.to_numpy() for c in batch.columns)))
+        right = np.arange(half, len(members.n)) if len(held) > 1 else left
+        step = max(1, COMPARED // max(1, len(right)))
+        for a in range(0, half, step):
+            i, j = (x.ravel() for x in np.meshgrid(left[a : a + step], right, indexing="ij"))
+            good = 100 * np.minimum(members.n[i], members.n[j]) >= PERCENT * np.maximum(members.n[i], members.n[j])
+            good &= (i < j) if right is left else True
+            yield members.pairs(*members.alike(i[good], j[good]), late)
+
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIRS)
+
+
+def _marked_sets(batches, marks: Marks, rarity: Rarity | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the lines whose documents and places are marked: line, doc, size, start, and the words of their sets, the rarest first
+    (without rarity: all their words, in their order)."""
+    for batch in batches:
+        batch = batch.filter(pa.array(marks.admits(mixed(batch.column(0).to_numpy()))))
+        for block in blocks(batch, 1):
+            words = words_of(block.column(1))
+            few = marks.admits(mixed(block.column(0).to_numpy()[words.text], words.number))
+            words = Words(words.text[few], words.line[few], words.number[few], words.hashes[few])
+            if rarity is None:
+                h, start = words.hashes, np.flatnonzero(np.diff(words.line, prepend=-1))
+                word, n = start, np.diff(np.append(start, len(h)))
+            else:
+                word, start, n, h = sets_of(words, rarity)
+            if len(start):
+                yield words.number[word].astype(np.int32), block.column(0).to_numpy()[words.text[word]], n, start, h
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """late_doc and late_line of the pairs whose word sets are similar, counted on the words of the whole lines."""
     places = pairs.select("doc", "line").unionByName(pairs.selectExpr("late_doc as doc", "late_line as line"))
-    in_docs, in_lines = _marks(places, "doc"), _marks(places, "doc", "line")
+    marks = Marks.of(places, lambda batch: np.append(mixed(batch.column(0).to_numpy()), mixed(*(c.to_numpy() for c in batch.columns))))
 
     def run(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(in_docs.admits(mixed(batch.column(0).to_numpy()))))
-            for block in blocks(batch, 1):
-                words = words_of(block.column(1))
-                doc = block.column(0).to_numpy()[words.text]
-                few = in_lines.admits(mixed(doc, words.number))
-                doc, number, line, h = doc[few], words.number[few], words.line[few], words.hashes[few]
-                start = np.flatnonzero(np.diff(line, prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(line)), pa.int32()), pa.array(h.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(number[start].astype(np.int32)), lists], names=["doc", "line", "words"])
+        for number, doc, _, start, h in _marked_sets(batches, marks, None):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(h)), pa.int32()), pa.array(h.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), lists], names=["doc", "line", "words"])
 
     sets = docs.mapInArrow(run, "doc long, line int, words array<long>").withColumn("words", F.array_distinct("words"))
     sets = written(sets, "line-sets")
@@ -422,16 +456,15 @@ def removals(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame
     source = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"cast(`{text}` as string) as text").filter("doc_id is not null")
     rarity = Rarity.of(source)
     classes = written(classes_of(source, rarity), "line-classes")
-    found = candidates(classes, rarity, long=long)
+    lists = Lists(classes, rarity, long)
+    found = lists.likeliest()
     gone = verified(found, source)
     # where the likeliest partner failed, others may not
-    left = written(found.select("late_doc", "late_line").join(gone, ["late_doc", "late_line"], "left_anti"), "line-left")
+    left = written(found.filter("more").select("late_doc", "late_line").join(gone, ["late_doc", "late_line"], "left_anti"), "line-left")
     tables = [classes, found, gone, left]
     if not left.isEmpty():
-        more = candidates(classes, rarity, _marks(left, "late_doc", "late_line"), long)
-        also = verified(more.join(left, ["late_doc", "late_line"], "left_semi").join(found, _PLACES, "left_anti"), source)
-        tables += [more, also]
-        gone = gone.unionByName(also)
+        tables.append(lists.verified(Marks.of(left, lambda batch: mixed(*(c.to_numpy() for c in batch.columns))), source))
+        gone = gone.unionByName(tables[-1])
     lost = classes.filter("payload is null").select("doc", "line").unionByName(gone.toDF("doc", "line"))
     out = written(lost.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-removals")
     released(*tables)
