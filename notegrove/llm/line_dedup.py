@@ -237,40 +237,54 @@ class Lists:
         return out
 
     def verified(self, late: Marks, docs: DataFrame) -> DataFrame:
-        """late_doc and late_line of the classes admitted by late that have a similar one before them, whichever it is: the lists
-        with such classes are made once more, with the whole sets of all members, and compared to the end."""
+        """late_doc and late_line of the classes admitted by late that have a similar one before them, whichever it is. The lists
+        with such classes are compared once more, and name the members that pass all filters with one of them: members, not
+        pairs, of which there may be far more. Those lists of those members are then compared on whole sets."""
         rarity, n_parts, long = self.rarity, self.n_parts, self.long
 
         def keys(batches):
-            for key, _, _, line, doc, *_ in _posts(batches, rarity, long):
-                yield Marks.entries(mixed(key[late.admits(mixed(doc, line))]))
+            for key, n, _, line, doc, *_ in _posts(batches, rarity, long):
+                few = late.admits(mixed(doc, line))
+                yield Marks.entries(np.concatenate([mixed(key[few], _band(n[few]) + k) for k in (-1, 0, 1)]))
 
         wanted = Marks(summed(self.packed, keys, Marks.BITS))
 
-        def places(batches):
-            for key, _, _, line, doc, *_ in _posts(batches, rarity, long):
-                few = wanted.admits(mixed(key))
-                yield Marks.entries(np.append(mixed(doc[few], line[few]), mixed(doc[few])))
+        def sent(batches):
+            for key, *member in _posts(batches, rarity, long):
+                few = wanted.admits(mixed(key, _band(member[0])))
+                key, member = key[few], [c[few] for c in member]
+                yield dealt((mixed(key) % np.uint64(n_parts)).astype(np.int64), [c.astype(k, copy=False) for c, k in zip((key, *member), _POST, strict=True)])
 
-        members = Marks(summed(self.packed, places, Marks.BITS))
+        def compare(batches):
+            key, *member = gathered(payloads(batches), _POST)
+            yield from _compared(key, Members(member), late, long)
 
-        def sent(batches):
+        near = self._met(self.packed.mapInArrow(sent, DEALT).repartitionById(n_parts, "part").mapInArrow(compare, _PAIRS), late)
+
+        def hashes(batch):
+            key, doc, line = (c.to_numpy() for c in batch.columns)
+            return np.concatenate([mixed(key, doc, line), mixed(doc, line), mixed(doc)])
+
+        members = Marks.of(near.select("list", "doc", "line"), hashes)
+
+        def whole(batches):
             for number, doc, n, start, h in _marked_sets(batches, members, rarity):
                 parity = _hashes_of(h, start)[2:]
                 able = np.flatnonzero(n >= LEAST_WORDS)
                 own, key, place = listed(n[able], start[able], (h >> np.uint64(32)).astype("<u4"), rarity, long)
-                few = wanted.admits(mixed(key))
-                own, key, place = able[own[few]], key[few], place[few]
+                own = able[own]
+                few = members.admits(mixed(key, doc[own], number[own]))
+                own, key, place = own[few], key[few], place[few]
                 part = (mixed(key) % np.uint64(n_parts)).astype(np.int64)
                 yield dealt_ragged(part, [key, n[own], place, number[own], doc[own], *(p[own] for p in parity)], _POST, h, start[own], n[own])
 
-        def compare(batches):
+        def decide(batches):
             (key, *member), sets = unragged(payloads(batches), _POST, "<u8")
             yield from _compared(key, Members(member, sets), late, long)
 
-        met = self._met(docs.mapInArrow(sent, DEALT).repartitionById(n_parts, "part").mapInArrow(compare, _PAIRS), late)
+        met = self._met(docs.mapInArrow(whole, DEALT).repartitionById(n_parts, "part").mapInArrow(decide, _PAIRS), late)
         out = written(met.select("late_doc", "late_line").distinct(), "line-gone")
-        released(met)
+        released(near, met)
         return out
 
     def _met(self, found: DataFrame, late: Marks | None) -> DataFrame:
@@ -293,6 +307,11 @@ _ARROW = pa.schema(
 COMPARED = 1 << 20
 
 
+def _band(n: np.ndarray) -> np.ndarray:
+    """Sizes of similar sets are in the same band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT) * (1 - 1e-9)).astype(np.int64)
+
+
 class Members:
     """Members of lists, perhaps with their whole sets."""
 
@@ -309,9 +328,9 @@ class Members:
         return ragged(self.columns, _MEMBER, np.zeros(0, "<u8") if self.sets is None else self.sets)
 
     @classmethod
-    def of(cls, blobs: list[bytes], whole: bool) -> Members:
+    def of(cls, blobs: list[bytes]) -> Members:
         columns, sets = unragged(blobs, _MEMBER, "<u8")
-        return cls(columns, sets if whole else None)
+        return cls(columns, sets if len(sets) else None)
 
     def spare(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Words that the sets of the rows may differ in and be similar, less those in which they do at least."""
@@ -331,15 +350,19 @@ class Members:
         shared = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
-    def pairs(self, i: np.ndarray, j: np.ndarray, late: Marks | None) -> pa.RecordBatch:
-        """Of pairs of rows, for each later place its likeliest partner, and whether there are others; with late, for those that it
-        admits a partner that is similar."""
+    def pairs(self, i: np.ndarray, j: np.ndarray, late: Marks | None, key: np.ndarray) -> pa.RecordBatch:
+        """Of pairs of rows, for each later place its likeliest partner, and whether there are others. With late, of the pairs whose
+        later place it admits: all members, with their list's key; or, where whole sets are there, a partner that is similar."""
         doc, line = self.doc, self.line
         swap = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         if late is not None:
             few = late.admits(mixed(doc[j], line[j]))
             i, j = i[few], j[few]
+        if late is not None and self.sets is None:
+            rows = np.unique(np.append(i, j))
+            columns = {"doc": doc[rows], "line": line[rows], "list": key[rows].astype(np.int64)}
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in _ARROW], schema=_ARROW)
         spare = self.spare(i, j)
         order = np.lexsort((line[i], doc[i], -spare, line[j], doc[j]))
         i, j, spare = i[order], j[order], spare[order]
@@ -375,7 +398,7 @@ def _compared(key: np.ndarray, members: Members, late: Marks | None, long: int)
         left.append(a), right.append(b)
         k, waiting = k + 1, waiting + len(a)
         if waiting >= COMPARED or not len(i):
-            yield members.pairs(np.concatenate(left), np.concatenate(right), late)
+            yield members.pairs(np.concatenate(left), np.concatenate(right), late, key)
             left, right, waiting = [], [], 0
 
 
@@ -391,15 +414,15 @@ def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
         for batch in batches:
             for *key, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if held and key != last:
-                    yield from compared(held)
+                    yield from compared(held, last[0])
                     held = []
                 last = key
                 held.append(payload)
         if held:
-            yield from compared(held)
+            yield from compared(held, last[0])
 
-    def compared(held):
-        members, half = Members.of(held, late is not None), len(Members.of(held[:1], False).n)
+    def compared(held, key):
+        members, half = Members.of(held), len(Members.of(held[:1]).n)
         left = np.arange(half)
         right = np.arange(half, len(members.n)) if len(held) > 1 else left
         step = max(1, COMPARED // max(1, len(right)))
@@ -407,7 +430,7 @@ def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
             i, j = (x.ravel() for x in np.meshgrid(left[a : a + step], right, indexing="ij"))
             good = 100 * np.minimum(members.n[i], members.n[j]) >= PERCENT * np.maximum(members.n[i], members.n[j])
             good &= (i < j) if right is left else True
-            yield members.pairs(*members.alike(i[good], j[good]), late)
+            yield members.pairs(*members.alike(i[good], j[good]), late, np.full(len(members.n), key))
 
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIRS)
 
