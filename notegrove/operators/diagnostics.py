@@ -31,14 +31,26 @@ def suggestions(asked: DataFrame, known: DataFrame) -> DataFrame:
 
     left = keyed(asked.select("name").distinct(), True)
     right = keyed(known.select("name").distinct(), False).withColumnRenamed("name", "candidate")
-    pairs = left.join(right, "key").select("name", "candidate").distinct().filter(F.lower("name") != F.lower("candidate"))
-    scored = pairs.select("name", "candidate", fuzzy.osa_column("name", "candidate").alias("d"))
+    pairs = left.join(right, "key").select("name", "candidate").distinct()
+    return _nearest(pairs, ["name"])
+
+
+def suggestions_within(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """doc, name and suggested, as suggestions, among the known names of the same note: a note's headings or block ids are
+    few, and all are compared."""
+    pairs = asked.select("doc", "name").distinct().join(known.select("doc", F.col("name").alias("candidate")).distinct(), "doc")
+    return _nearest(pairs, ["doc", "name"])
+
+
+def _nearest(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The columns `by` and suggested: candidates of a name near enough, nearest first, each once whatever its case."""
+    scored = pairs.filter(F.lower("name") != F.lower("candidate")).withColumn("d", fuzzy.osa_column("name", "candidate"))
     n, m = F.length("name"), F.length("candidate")
     most = F.when(n <= 3, 1).when(n <= 7, 2).otherwise(3)
     near = scored.withColumn("sim", 1 - F.col("d") / F.greatest(n, m)).filter((F.col("d") <= most) & (F.col("sim") >= LEAST_SIMILARITY))
-    best = graph.first_by(near.withColumn("_k", F.concat_ws("\x00", "name", F.lower("candidate"))), "_k", "d", F.desc("sim"), "candidate")
-    top = best.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("d", F.desc("sim"), "candidate"))).filter(F.col("n") <= SUGGESTED)
-    return top.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "candidate"))), lambda x: x["candidate"]).alias("suggested"))
+    best = graph.first_by(near.withColumn("_k", F.concat_ws("\x00", *by, F.lower("candidate"))), "_k", "d", F.desc("sim"), "candidate")
+    top = best.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("d", F.desc("sim"), "candidate"))).filter(F.col("n") <= SUGGESTED)
+    return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "candidate"))), lambda x: x["candidate"]).alias("suggested"))
 
 
 def _cut(n: int, parts: int) -> list[tuple[int, int]]:
@@ -76,22 +88,39 @@ def lint(t: dict[str, DataFrame], strict: bool = False) -> DataFrame:
     targets errors; broken anchors stay warnings."""
     docs = t["documents"]
     links = graph.resolved(t["links"], docs, graph.LINT_ORDER, last=True)
-    shown = ["source_doc_id", "line_number", "target_note", "context_snippet"]
     code = F.coalesce(*(F.when(F.col("link_type") == k, v) for k, v in UNRESOLVED.items()))
-    lost = links.filter("doc is null").select(code.alias("code"), *shown, F.col("target_note").alias("name"), F.lit("error" if strict else "warning").alias("severity"))
+    lost = links.filter("doc is null").select(code.alias("code"), *_SHOWN, F.col("target_note").alias("name"), F.lit("error" if strict else "warning").alias("severity"))
     known = docs.select(F.col("title").alias("name")).unionByName(docs.select(F.explode(F.transform("aliases", F.lower)).alias("name"))).distinct()
     found = lost.join(suggestions(lost, known), "name", "left").withColumn("suggested", F.transform("suggested", lambda s: F.concat(F.lit("[["), s, F.lit("]]"))))
-    heads = t["sections"].select(F.col("doc_id").alias("doc"), F.explode(F.array(F.lower("heading"), slugify(F.col("heading")))).alias("key")).distinct()
+    return _reported(found).unionByName(broken_anchors(t, links))
+
+
+def broken_anchors(t: dict[str, DataFrame], links: DataFrame | None = None) -> DataFrame:
+    """The findings of lint on headings and blocks that the linked notes don't have."""
+    links = graph.resolved(t["links"], t["documents"], graph.LINT_ORDER, last=True) if links is None else links
+    names = t["sections"].select(F.col("doc_id").alias("doc"), F.col("heading").alias("name")).distinct()
+    heads = names.select("doc", F.explode(F.array(F.lower("name"), slugify(F.col("name")))).alias("key")).distinct()
     asked = links.filter("doc is not null and target_heading is not null")
     own = asked.withColumn("key", F.lower("target_heading")).join(heads, ["doc", "key"], "left_anti").withColumn("key", slugify(F.col("target_heading")))
-    no_head = own.join(heads, ["doc", "key"], "left_anti").select(F.lit(BROKEN_HEADING).alias("code"), *shown, F.concat_ws("#", "target_note", "target_heading").alias("name"))
+    no_head = own.join(heads, ["doc", "key"], "left_anti").drop("key").withColumn("name", F.col("target_heading"))
     blocks = t["block_ids"].select(F.col("doc_id").alias("doc"), F.col("block_id").alias("target_block")).distinct()
     asked = links.filter("doc is not null and target_block is not null")
-    no_block = asked.join(blocks, ["doc", "target_block"], "left_anti").select(F.lit(BROKEN_BLOCK).alias("code"), *shown, F.concat_ws("#^", "target_note", "target_block").alias("name"))
-    anchors = no_head.unionByName(no_block).withColumn("severity", F.lit("warning")).withColumn("suggested", F.lit(None).cast("array<string>"))
-    every = found.unionByName(anchors)
+    no_block = asked.join(blocks, ["doc", "target_block"], "left_anti").withColumn("name", F.col("target_block"))
+    out = []
+    for code, rows, known, mark in ((BROKEN_HEADING, no_head, names, "#"), (BROKEN_BLOCK, no_block, blocks.withColumnRenamed("target_block", "name"), "#^")):
+        near = rows.join(suggestions_within(rows, known), ["doc", "name"], "left")
+        written_out = F.transform("suggested", lambda s: F.concat(F.lit("[["), F.col("target_note"), F.lit(mark), s, F.lit("]]")))
+        anchors = near.select(F.lit(code).alias("code"), *_SHOWN, F.concat_ws(mark, "target_note", "name").alias("name"), F.lit("warning").alias("severity"), written_out.alias("suggested"))
+        out.append(_reported(anchors))
+    return out[0].unionByName(out[1])
+
+
+_SHOWN = ("source_doc_id", "line_number", "target_note", "context_snippet")
+
+
+def _reported(found: DataFrame) -> DataFrame:
     title = F.coalesce(*(F.when(F.col("code") == k, v) for k, v in TITLES.items()))
-    return every.select(
+    return found.select(
         "code", title.alias("title"), "severity", F.col("source_doc_id").alias("doc_id"), F.col("line_number").alias("line"), (F.octet_length("target_note") + 4).alias("col_end"),
         F.col("name").alias("target"), F.col("context_snippet").alias("snippet"), F.coalesce("suggested", F.array().cast("array<string>")).alias("suggested"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -55,23 +55,47 @@ def _vault(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _VAULTS:
         _VAULTS.clear()
-        _VAULTS[key] = markdown.tables(settled(markdown.parse(vault.demo(spark, sf_dir)), "vault"))
+        _GRAPHS.clear()
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # the notes come out of an aggregation in a few partitions; parsing them is the work
+        _VAULTS[key] = markdown.tables(settled(markdown.parse(vault.demo(spark, sf_dir).repartition(parts, "path")), "vault"))
     return _VAULTS[key]
 
 
+_GRAPHS: dict[tuple[str, str], graph.Graph] = {}
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.build(_vault(spark, sf_dir))
+    """The vault's link graph, resolved and written once in an application."""
+    key, t = (spark.sparkContext.applicationId, sf_dir), _vault(spark, sf_dir)
+    if key not in _GRAPHS:
+        edges, vertices = graph.build(t).edges, graph.build(t).vertices
+        _GRAPHS[key] = graph.Graph(settled(vertices, "vertices"), settled(edges, "edges"))
+    return _GRAPHS[key]
+
+
+@query()
+def p00_parse(spark, sf_dir):
+    """Rows of each table that parsing the vault gives; the queries after it read the parsed vault."""
+    t = _vault(spark, sf_dir)
+    out = None
+    for name, rows in t.items():
+        n = rows.agg(F.lit(name).alias("table"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 #: The vault's notes, links and edges straight from the tables.
 _SQL = """
 with notes as (
-  select 'Part ' || p_partkey as title from part union all select 'Supplier ' || s_suppkey from supplier),
+  select 'Part ' || p_partkey as title from part union all select 'Supplier ' || s_suppkey from supplier
+  union all select 'Region ' || r_regionkey from region union all select 'Log ' || n_nationkey from nation),
 links as (
   select 'Part ' || l_partkey as src, 'Supplier ' || l_suppkey as dst,
     case l_linenumber % 3 when 0 then 'wikilink' when 1 then 'embed' else 'markdown' end as link_type from lineitem
   union all select 'Part ' || l_partkey, 'Part ' || l_orderkey, 'wikilink' from lineitem
-  union all select 'Supplier ' || s_suppkey, 'Nation ' || s_nationkey, 'wikilink' from supplier),
+  union all select 'Supplier ' || s_suppkey, 'Nation ' || s_nationkey, 'wikilink' from supplier
+  union all select 'Log ' || n_nationkey, unnest(['Part 1', 'Part 1', 'Lost ' || n_nationkey, 'Missing ' || n_nationkey]), unnest(['wikilink', 'wikilink', 'embed', 'markdown']) from nation),
 brands as (
   select 'Part ' || p_partkey as title, 'brand/' || lower(replace(p_brand, '#', '-')) as tag from part
   union all select 'Part ' || p_partkey, 'type/' || lower(p_type) from part
@@ -111,7 +135,8 @@ def p06_word_count(spark, sf_dir):
 
 @query("select doc_id, sha256(text) as hash from documents")
 def p05_content_hash(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    notes = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return markdown.parse(notes).select(F.col("path").cast("bigint").alias("doc_id"), "hash")
 
 
 @query("""
@@ -143,7 +168,7 @@ def p24_slugify(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", fx.slugify(F.col("url")).alias("slug"))
 
 
-@query(_SQL + "select (select count(*) from notes) as documents, (select count(*) from links) as links, (select count(*) from brands) as tags, (select 2 * count(*) from part) + (select count(*) from supplier) as sections")
+@query(_SQL + "select (select count(*) from notes) as documents, (select count(*) from links) as links, (select count(*) from brands) as tags, (select 2 * count(*) from part) + (select count(*) from supplier) + (select count(*) from region) + (select count(*) from nation) as sections")
 def a01_stats(spark, sf_dir):
     return catalogue.stats(_vault(spark, sf_dir)).select("documents", "links", "tags", "sections")
 
@@ -188,7 +213,18 @@ def a15_adjacency(spark, sf_dir):
     return a.select(F.col("u_title").alias("u"), F.col("v_title").alias("v"), F.round("weight", 4).alias("weight"))
 
 
-@query()
+_RANKS = ", ".join(
+    f"""r{k + 1} as materialized (select a.id, 0.15 / a.n + 0.85 * (coalesce(g.got, 0) + (select coalesce(sum(raw), 0) from r{k} where leaf) / a.n) as raw, a.leaf
+  from r0 a left join (select s.dst as id, sum(r.raw * s.share) as got from shares s join r{k} r on r.id = s.src group by s.dst) g on g.id = a.id)"""
+    for k in range(30)
+)
+
+
+@query(_SQL + f""", outs as (select src, count(*) as n from links group by src),
+shares as materialized (select src, dst, count(*) / (select n from outs o where o.src = l.src)::double as share from links l group by src, dst),
+r0 as materialized (select title as id, (select count(*) from vertices) as n, 1.0 / (select count(*) from vertices)::double as raw, title not in (select src from outs) as leaf from vertices),
+{_RANKS}
+select id as title, round(least(greatest((raw - low) / greatest(high - low, 1e-6), 0), 1), 6) as pagerank from r30, (select min(raw) as low, max(raw) as high from r30)""")
 def g02_pagerank(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return graph.pagerank(g).join(g.vertices.select("id", "title"), "id").select("title", F.round("pagerank", 6).alias("pagerank"))
@@ -202,7 +238,12 @@ def g06_hops(spark, sf_dir):
     return graph.hops_from(g, "Part 1", 3).join(g.vertices.select("id", "title"), "id").select("title", "hops")
 
 
-@query()
+@query(_SQL.replace("with notes", "with recursive notes") + """, walk as (
+  select 'Part 1' as id, 0 as hops union select l.dst, w.hops + 1 from walk w join links l on l.src = w.id where w.hops < 6 and w.id <> 'Nation 3'),
+dist as (select id, min(hops) as hops from walk group by id),
+back as (select id, hops from dist where id = 'Nation 3' union all
+  select min(l.src), b.hops - 1 from back b join links l on l.dst = b.id join dist d on d.id = l.src and d.hops = b.hops - 1 group by b.hops)
+select cast(hops as int) as hop, id as title from back""")
 def g06_shortest_path(spark, sf_dir):
     path = graph.shortest_path(_graph(spark, sf_dir), "Part 1", "Nation 3")
     return spark.createDataFrame([(k, x) for k, x in enumerate(path or [])], "hop int, title string")
@@ -246,11 +287,6 @@ def a10_connections(spark, sf_dir):
 _TERMS = ("thtion", "erent", "the")
 
 
-def _posting_source(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    return fts.index(d, "doc_id", ("content",), fts.plain_tokens)
-
-
 @query("""
 with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents),
 len as (select d.doc_id, count(w.term) as len from documents d left join w using (doc_id) group by d.doc_id),
@@ -260,7 +296,8 @@ s as (select count(*) as n, sum(len) as total from len)
 select doc_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / n)))), 6) as score
 from tf join df using (term) join len using (doc_id), s group by doc_id""")
 def t05_bm25(spark, sf_dir):
-    ix = _posting_source(spark, sf_dir)
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    ix = fts.index(d, "doc_id", ("content",), fts.plain_tokens, list(_TERMS))
     terms = spark.createDataFrame([("q", t) for t in _TERMS], "query string, term string")
     return fts.bm25(ix, terms, {"content": 1.0}).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
@@ -288,7 +325,14 @@ def v03_vector_top_k(spark, sf_dir):
     return vectors.top_k(e, _vector_queries(e)).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
-@query()
+_QUANTISED = """
+with v as (select vec_id, embedding::double[] as e, greatest(list_max(list_transform(embedding::double[], lambda x: abs(x))) / 127.0, 1e-300) as scale from embeddings),
+d as (select vec_id, list_transform(e, lambda x: sign(x) * floor(abs(x / scale) + 0.5)) as d from v),
+s as (select q.vec_id as query_id, d.vec_id, least(greatest(list_inner_product(q.e, d.d) / sqrt(list_inner_product(d.d, d.d)), -1), 1) as similarity from v q, d where q.vec_id % 20 = 0),
+near8 as (select * from (select *, cast(row_number() over (partition by query_id order by similarity desc, vec_id) as int) as rank from s) where rank <= 10)"""
+
+
+@query(_QUANTISED + "select query_id, vec_id, round(similarity, 5) as similarity, rank from near8")
 def v05_sq8_top_k(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
     return vectors.top_k(e, _vector_queries(e), quantised=True).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
@@ -311,7 +355,10 @@ def f14_sq8_encode(spark, sf_dir):
     return s.select("vec_id", F.round("s.scale", 9).alias("scale"), parts.alias("parts"), F.round("s.inv_norm", 9).alias("inv_norm"))
 
 
-@query()
+@query(_QUANTISED + """,
+t as (select q.vec_id as query_id, e.vec_id, list_inner_product(q.e, e.e) as similarity from v q, v e where q.vec_id % 20 = 0),
+near as (select * from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from t) where rank <= 10)
+select n.query_id, round(count(m.vec_id) / count(*)::double, 4) as recall from near n left join near8 m on m.query_id = n.query_id and m.vec_id = n.vec_id group by n.query_id""")
 def a19_recall(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
     q = _vector_queries(e)
@@ -380,16 +427,8 @@ def f23_lexical_path(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", fx.lexical_path(F.col("url"))["error"].alias("error"))
 
 
-@query("""
-with m as (select part.p_partkey as id, lower(p_name) as name from part) select id, count(*) as n from m group by id""")
+@query(_SQL + "select title || '.md' as doc_id, title from notes")
 def s08_documents(spark, sf_dir):
-    t = _vault(spark, sf_dir)
-    return catalogue.documents(t).filter(F.col("title").startswith("Part ")).groupBy(F.substring("title", 6, 20).cast("bigint").alias("id")).agg(F.count("*").alias("n"))
-
-
-@query()
-def s08_all_documents(spark, sf_dir):
-    """All notes by title. s08_documents is held to its SQL, which is over parts."""
     return catalogue.documents(_vault(spark, sf_dir)).select("doc_id", "title")
 
 
@@ -410,9 +449,17 @@ def _user_events(spark, sf_dir):
     return _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query()
+@query("""
+with k as (select cast(user_id as varchar) as path, ts, case event_type when 'signup' then 'create' when 'error' then 'remove' else 'modify' end as kind from events),
+m as (select *, case when ts - lag(ts) over (partition by path order by ts) < interval 6 hour then 0 else 1 end as first from k),
+r as (select *, sum(first) over (partition by path order by ts rows unbounded preceding) as run from m),
+g as (select path, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) as n_events, list_reduce(list_prepend('', list(kind order by ts, kind)),
+  lambda a, b: case when a = '' then b when a = 'remove' and b = 'create' then 'modify' when a = 'create' and b = 'modify' then 'create' when a = 'create' and b = 'remove' then '' else b end) as action
+  from r group by path, run)
+select * from g where action <> ''""")
 def x03_settled_actions(spark, sf_dir):
-    return watch.settled(_user_events(spark, sf_dir), "6 hours", None).select("path", "start", "end", "n_events", "action")
+    found = watch.settled(_user_events(spark, sf_dir), "6 hours", None)
+    return found.select("path", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_events", "action")
 
 
 @query("""
@@ -430,15 +477,27 @@ def j22_manifest_changes(spark, sf_dir):
     return catalogue.changes(new, old)
 
 
-@query(_SQL + "select code, count(*) as n from (select case link_type when 'wikilink' then 'W001' when 'markdown' then 'W004' else 'W005' end as code from links where dst not in (select title from notes)) group by code")
+@query(_SQL + """select code, count(*) as n from (
+  select case link_type when 'wikilink' then 'W001' when 'markdown' then 'W004' else 'W005' end as code from links where dst not in (select title from notes)
+  union all select unnest(['W002', 'W003']) from nation) group by code""")
 def d02_lint(spark, sf_dir):
     return diagnostics.lint(_vault(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select 'Log ' || n_nationkey || '.md' as doc_id, unnest(['W002', 'W003']) as code, unnest(['Part 1#Suply', 'Part 1#^none']) as target, unnest(['[[Part 1#Supply]]', '']) as suggested from nation")
+def d03_broken_anchors(spark, sf_dir):
+    return diagnostics.broken_anchors(_vault(spark, sf_dir)).select("doc_id", "code", "target", F.array_join("suggested", "|").alias("suggested"))
+
+
+@query("""
+with known as (select distinct p_name as candidate from part), asked as (select distinct replace(p_name, 'e', 'a') as name from part),
+p as (select *, damerau_levenshtein(lower(name), lower(candidate)) as d, greatest(len(name), len(candidate)) as longest from asked, known where lower(name) <> lower(candidate)),
+n as (select *, row_number() over (partition by name order by d, -(1 - d / longest), candidate) as k from p where d <= case when len(name) <= 3 then 1 when len(name) <= 7 then 2 else 3 end and 1 - d / longest >= 0.6)
+select name, string_agg(candidate, '|' order by k) as suggested from n where k <= 3 group by name""")
 def f10_typo_suggestions(spark, sf_dir):
     names = _read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return diagnostics.suggestions(names.select(F.translate("name", "e", "a").alias("name")), names)
+    found = diagnostics.suggestions(names.select(F.translate("name", "e", "a").alias("name")), names)
+    return found.select("name", F.array_join("suggested", "|").alias("suggested"))
 
 
 @query(_SQL + """, cost as (select src, dst, case link_type when 'embed' then 0.9 when 'wikilink' then 1.0 else 1.2 end as c from links where dst in (select title from notes)),
@@ -486,6 +545,6 @@ def g21_walks(spark, sf_dir):
 @query("""select source, count(*) as n, min(doc_id) as first_doc from documents group by source""")
 def k04_latest(spark, sf_dir):
     d = _read(spark, sf_dir, "documents")
-    w = Window.partitionBy("source")
-    rows = d.select("source", "doc_id", F.count("*").over(w).alias("n"), (-F.col("doc_id")).alias("newest"))
-    return catalogue.latest(rows, ["source"], "newest").select("source", "n", F.col("doc_id").alias("first_doc"))
+    n = d.groupBy("source").agg(F.count("*").alias("n"))
+    newest = catalogue.latest(d.select("source", "doc_id", (-F.col("doc_id")).alias("newest")), ["source"], "newest")
+    return newest.join(n, "source").select("source", "n", F.col("doc_id").alias("first_doc"))

@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders that hold no notes.
-HIDDEN_ROOTS = (".atlaswiki", ".git", ".obsidian")
-IGNORED_PARTS = (".git", ".obsidian", ".atlaswiki", "node_modules", ".trash")
+#: Beside folders whose names start with a dot.
+NOT_NOTES = ("node_modules",)
+
+
+def rule_pattern(rule: str) -> tuple[str, bool] | None:
+    """A line of an ignore file as a regular expression on relative paths, and whether it takes files out (else back in)."""
+    rule = rule.rstrip()
+    if not rule or rule.startswith("#"):
+        return None
+    out, rule = not rule.startswith("!"), rule.removeprefix("!").removeprefix("\\")
+    folder, rule = rule.endswith("/"), rule.rstrip("/")
+    anchored, rule = "/" in rule, rule.lstrip("/")
+    pieces = re.split(r"(\*\*/|/\*\*$|\*|\?)", rule)
+    said = {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
+    body = "".join(said.get(x) or re.escape(x) for x in pieces)
+    return ("^" if anchored else "(?:^|/)") + body + ("/" if folder else "(?:/|$)"), out
+
+
+def ignored(spark: SparkSession, root: str, path: Column) -> Column:
+    """Whether the ignore file at the root takes a path out: the last rule that fits decides."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select(F.decode("content", "UTF-8").alias("text"))
+    out = F.lit(False)
+    for row in files.collect():  # one small file
+        for pattern, takes_out in filter(None, map(rule_pattern, row["text"].splitlines())):
+            out = F.when(path.rlike(pattern), takes_out).otherwise(out)
+    return out
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), mtime (ms), file_size, content of the Markdown files below root that aren't hidden, of any size."""
+    """path (relative), mtime (ms), file_size, content of the Markdown files below root, of any size, that aren't hidden and
+    that the root's .gitignore leaves in."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:", "")
-    relative = F.expr(f"substring(path, locate('{root.rstrip('/')}', path) + {len(root.rstrip('/')) + 1})") if root else base
-    seen = raw.select(
-        F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"), F.unix_millis("modificationTime").alias("mtime"),
-        F.col("length").alias("file_size"), F.decode("content", "UTF-8").alias("content"),
-    )
-    return seen.filter(~F.col("path").rlike(r"(^|/)\."))
+    base = re.sub("^file:/*", "/", root.rstrip("/")) if root.startswith("file:") else root.rstrip("/")
+    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    relative = F.substr(decoded, F.locate(base + "/", decoded) + F.lit(len(base) + 1))
+    seen = raw.select(relative.alias("path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("file_size"), F.decode("content", "UTF-8").alias("content"))
+    return seen.filter(~F.col("path").rlike(r"(^|/)\.") & ~ignored(spark, root, F.col("path")))
 
 
 def is_watched(path: str = "path") -> Column:
-    """Markdown by its ending, in no ignored folder."""
-    parts = F.split(path, "/")
-    return F.lower(F.col(path)).rlike(r"\.(md|markdown)$") & ~F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_PARTS)))
-
-
-def for_synthesis(notes: DataFrame) -> DataFrame:
-    return notes.filter(~F.col("path").contains("node_modules"))
+    """Markdown by its ending, in no folder that is hidden or holds no notes."""
+    folders = F.split(F.regexp_extract(path, "^(.*)/[^/]*$", 1), "/")
+    return F.lower(F.col(path)).rlike(r"\.(md|markdown)$") & ~F.exists(folders, lambda f: f.startswith(".") | f.isin(*NOT_NOTES))
 
 
 def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of one note for each part and supplier. A part links to the suppliers of its line items (by a
     wikilink, an embed or a Markdown link, by line number) and to parts numbered like their orders, most of which don't
-    exist; a supplier links to its nation, which has no note."""
-    part, supplier, item = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier", "lineitem"))
+    exist; a supplier links to its nation, which has no note. A region's note has no links, but a preamble and a fence; a
+    nation's log links to a heading, a block, an embed and a file that aren't there."""
+    part, supplier, item, region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier", "lineitem", "region", "nation"))
     name = F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"))
     kind = F.col("l_linenumber") % 3
     link = F.when(kind == 0, F.concat(F.lit("[["), name, F.lit("]]"))).when(kind == 1, F.concat(F.lit("![["), name, F.lit("]]")))
@@ -52,7 +73,14 @@ def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = part.join(lines, "p_partkey", "left").select(F.concat(F.lit("Part "), key, F.lit(".md")).alias("path"), head.alias("content"))
     own = F.col("s_suppkey").cast("string")
     text = F.concat(F.lit("# Supplier "), own, F.lit("\nOf [[Nation "), F.col("s_nationkey").cast("string"), F.lit("]]. #supplier\n"))
-    return parts.unionByName(supplier.select(F.concat(F.lit("Supplier "), own, F.lit(".md")).alias("path"), text.alias("content")))
+    suppliers = supplier.select(F.concat(F.lit("Supplier "), own, F.lit(".md")).alias("path"), text.alias("content"))
+    own = F.col("r_regionkey").cast("string")
+    text = F.concat(F.lit("Before it: none.\n\n```\n# No heading\n[[No link]] #none\n```\n\n# Region "), own, F.lit("\n"), F.col("r_name"), F.lit(" `[[No link]]`\n"))
+    regions = region.select(F.concat(F.lit("Region "), own, F.lit(".md")).alias("path"), text.alias("content"))
+    own = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("# Log "), own, F.lit("\n[[Part 1#Suply]] and [[Part 1#^none]]\n![[Lost "), own, F.lit("]] [x](Missing "), own, F.lit(".md)\n"))
+    logs = nation.select(F.concat(F.lit("Log "), own, F.lit(".md")).alias("path"), text.alias("content"))
+    return parts.unionByName(suppliers).unionByName(regions).unionByName(logs)
 
 
 def file_events(spark: SparkSession, path: str, schema: str = "path string, kind string, ts timestamp") -> DataFrame:

@@ -15,6 +15,7 @@ from notegrove.functions import fuzzy
 from notegrove.functions import text as fx
 from notegrove.operators import catalogue, diagnostics, fts, graph, markdown, rag, synthesis, topology, vectors
 from notegrove.plans import catalogue as queries
+from notegrove.sources import vault
 from notegrove.streaming import watch
 
 NOTES = {
@@ -294,7 +295,7 @@ def test_queries_keep_every_row(spark, monkeypatch):
     got = {r["page_id"]: r["slug"] for r in queries.p24_slugify(spark, "").collect()}
     assert got == {1: "http-bücher-example-straße-1", 2: None, 3: "https-例え-jp-a", 4: "http-a-b-c"}
     vault_of(spark, monkeypatch, {"Supplier 1.md": "a", "Part 1.md": "b", "Other.md": "c"})
-    assert [r["title"] for r in queries.s08_all_documents(spark, "").collect()] == ["Other", "Part 1", "Supplier 1"]
+    assert [r["title"] for r in queries.s08_documents(spark, "").collect()] == ["Other", "Part 1", "Supplier 1"]
 
 
 def test_settled_events(spark, tmp_path):
@@ -322,3 +323,36 @@ def test_tools(engine):
     assert tools.http(engine, "/api/backlinks?note=Beta")[0] == 200 and tools.http(engine, "/x")[0] == 404
     assert engine.definition("Alpha", "Parts") == {"path": "Alpha.md", "line": 9} and engine.hover("Lone").startswith("# Lone")
     assert [r["label"] for r in engine.completion("see [[al").collect()] == ["Alpha"]
+
+
+def test_link_and_field_scanners():
+    links = markdown.wikilinks
+    assert links("a [[N]] ![[M#H^b|x|y]] [[#h]] [[N#]] [[N|]] [[ ]] [[N^b]] [[N#^b]] [[a]b]] [[x [[y]]") == [
+        ("wikilink", "N", None, None, None), ("embed", "M", "H", "b", "x|y"), ("wikilink", "N", None, "b", None), ("wikilink", "N", None, "b", None),
+        ("wikilink", "x [[y", None, None, None),
+    ]
+    fields = markdown.fields
+    assert fields("[a:: 1] b:: two, c::three [d::] e:: [f:: 4]") == [("a", "1"), ("f", "4"), ("b", "two"), ("c", "three [d::")]
+    assert fields("[k:: v] k:: w") == [("k", "v")] and fields("x:y::z ::q") == []
+
+
+def test_front_matter_without_fields_is_dropped():
+    note = markdown.parse_note("a.md", "---\n- one\n---\n\nText \n")
+    assert [s["content"] for s in note["sections"]] == ["Text"] and note["title"] == "a"
+    assert markdown.parse_note("a.md", "---\nx: [\n---\nText")["sections"][0]["content"].startswith("---")
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    root = tmp_path / "it's a vault"
+    for name in ("a.md", "sub/b c+d.md", "drafts/x.md", "drafts/keep.md", ".hidden/y.md", "node/z.md", "old.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("# T\n")
+    (root / ".gitignore").write_text("# rules\ndrafts/*\n!drafts/keep.md\nnode/\n/old*\n")
+    assert {r["path"] for r in vault.files(spark, str(root)).collect()} == {"a.md", "sub/b c+d.md", "drafts/keep.md"}
+
+
+def test_broken_anchors_suggest_what_the_note_has(spark):
+    notes = spark.createDataFrame([("a.md", "# Introduction\ntext ^block-one\n"), ("b.md", "[[a#Introductoin]] [[a#^block-on]] [[a#Nothing like it]]\n")], "path string, content string")
+    found = diagnostics.lint(markdown.tables(markdown.parse(notes)))
+    got = {(r["code"], r["target"]): r["suggested"] for r in found.collect()}
+    assert got == {("W002", "a#Introductoin"): ["[[a#Introduction]]"], ("W003", "a#^block-on"): ["[[a#^block-one]]"], ("W002", "a#Nothing like it"): []}
