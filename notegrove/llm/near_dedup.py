@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, written
+from ._common import released, small_batches, written
 
 COORDINATES = 32
 #: Chance at most that two sets of just the linked similarity agree in fewer coordinates than asked for.
@@ -175,7 +175,8 @@ def star_pairs(posts: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (one, two) of a class and the most central class of a list of both."""
     lists = posts.select(F.explode("prefix").alias("value"), "one", "n", "brief", "weight")
     centre = lists.groupBy("value").agg(F.count("*").alias("members"), F.max(F.struct("weight", (-F.col("one")).alias("minus"), "n", "brief")).alias("c"))
-    centre = centre.filter("members > 1").selectExpr("value", "-c.minus as two", "c.n as m", "c.brief as other")
+    # a table of its own, so that the join has its own exchange and Spark can split a long list's partition
+    centre = written(centre.filter("members > 1").selectExpr("value", "-c.minus as two", "c.n as m", "c.brief as other"), "dedup-centres")
     ratio, least = like.percent, like.least
     pairs = lists.join(centre, "value").filter(f"one <> two and 100 * least(n, m) >= {ratio} * greatest(n, m)")
 
@@ -184,7 +185,9 @@ def star_pairs(posts: DataFrame, like: Likeness) -> DataFrame:
             good = _agreeing(_briefs(batch.column("brief")), _briefs(batch.column("other"))) >= least
             yield batch.select(["one", "two"]).filter(pa.array(good))
 
-    return pairs.select("one", "two", "brief", "other").mapInArrow(run, "one long, two long").distinct()
+    out = written(pairs.select("one", "two", "brief", "other").mapInArrow(run, "one long, two long").distinct(), "dedup-pairs")
+    released(centre)
+    return out
 
 
 def open_groups(posts: DataFrame, component: DataFrame, like: Likeness) -> DataFrame:
@@ -196,6 +199,7 @@ def open_groups(posts: DataFrame, component: DataFrame, like: Likeness) -> DataF
     )
     open_lists = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     open_lists = open_lists.filter("low <> high").select("value", F.ceil(F.col("members") / PART).cast("int").alias("blocks"))
+    open_lists = written(open_lists, "dedup-open-lists")  # as with the centres
     dealt = lists.join(open_lists, "value").selectExpr("*", "cast(pmod(xxhash64(one), blocks) as int) as own")
     # block k meets each block: the lower number first
     met = dealt.selectExpr("*", "explode(sequence(0, blocks - 1)) as k").selectExpr(
@@ -229,7 +233,9 @@ def open_groups(posts: DataFrame, component: DataFrame, like: Likeness) -> DataF
     keys = ["value", "first", "second"]
     groups = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "low long, high long, members array<long>")
     whole = groups.groupBy("low", "high").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members"))
-    return whole.select(F.xxhash64("low", "high").alias("key"), F.explode("members").alias("one"))
+    out = written(whole.select(F.xxhash64("low", "high").alias("key"), F.explode("members").alias("one")), "dedup-groups")
+    released(open_lists)
+    return out
 
 
 def paired_groups(pairs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -308,30 +314,38 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy("one").agg(F.least(F.col("one"), F.min("two")).alias("component")), "dedup-labels")
     while True:
         near = edges.join(labels.select(F.col("one").alias("two"), "component"), "two").groupBy("one").agg(F.min("component").alias("near"))
-        moved = labels.join(near, "one").select("one", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        moved = labels.select("one", "component").join(near, "one").select("one", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         target = moved.select(F.col("one").alias("component"), F.col("component").alias("further"))
         jumped = written(
             moved.join(target, "component", "left").select("one", F.least("component", "further").alias("component"), "before"), "dedup-labels"
         )
-        labels = jumped.select("one", "component")
+        released(labels)
+        labels = jumped
         if jumped.filter("component <> before").isEmpty():
-            return labels
+            released(edges)
+            return jumped
 
 
 def group(docs: DataFrame, like: Likeness, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links, its own included) and kept (doc_id is
     component_id) of every document. Null texts and texts without words have an empty set and are linked with nothing.
-    doc_id is a key; repeated rows of a document give repeated rows. Other columns are ignored."""
+    doc_id is a key; repeated rows of a document give repeated rows. Rows without doc_id are linked with nothing: their
+    component_id is null and they are kept. Texts of any length are worked on whole. Other columns are ignored."""
     every = written(signed(docs, like, text), "dedup-signed")
-    first = every.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "posts", "brief")).alias("c"))
+    first = every.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "posts", "brief")).alias("c"))
     classes = written(first.selectExpr("set_id", "c.doc_id as one", "c.n_shingles as n", "c.posts", "c.brief"), "dedup-classes")
     posts = written(posted(classes, like), "dedup-posts")
-    links = written(confirmed(written(paired_groups(star_pairs(posts, like), posts), "dedup-groups"), docs, like, text), "dedup-links")
+    pairs = star_pairs(posts, like)
+    groups = written(paired_groups(pairs, posts), "dedup-groups")
+    links = written(confirmed(groups, docs, like, text), "dedup-links")
     component = components(links)
-    rest = written(open_groups(posts, component, like), "dedup-groups")
+    rest = open_groups(posts, component, like)
     if not rest.isEmpty():
-        component = components(links.unionByName(written(confirmed(rest, docs, like, text), "dedup-links")))
+        more = written(confirmed(rest, docs, like, text), "dedup-links")
+        closed, component = component, components(links.unionByName(more))
+        released(closed, more)
+    released(posts, pairs, groups, links, rest)
     by_set = classes.join(component, "one", "left").select("set_id", F.coalesce("component", "one").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -7,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notegrove.llm import bpe, decontamination, line_dedup, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from notegrove.llm import _words, bpe, decontamination, line_dedup, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 RANKS, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -190,6 +191,14 @@ def test_near_dedup(spark, docs, texts, like):
     assert got == brute_groups(texts | more, like.words, like.percent)
 
 
+def test_near_dedup_with_null_ids_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (3, None), (None, None), (4, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_dedup.group(df, near_dedup.Likeness()).collect()), key=str)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 2, None, True), (3, 0, 3, True), (None, 0, None, True), (4, 1, 4, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_near_dedup_of_nothing(empty):
     assert near_dedup.group(empty, near_dedup.Likeness()).count() == 0
 
@@ -205,8 +214,8 @@ def brute_lines(texts):
     seen, inverted, out = [], {}, {}
     for i, t in sorted(texts.items()):
         for k, line in enumerate(t.split("\n") if t else ()):
-            s = frozenset(line_dedup.words_of(line))
-            if len(s) < line_dedup.LEAST_WORDS:
+            s = frozenset(line.encode("utf-8", "surrogatepass").lower().split())
+            if not s:
                 continue
             shared = Counter(j for x in s for j in inverted.get(x, ()))
             if any(100 * n >= line_dedup.PERCENT * (len(s) + len(seen[j]) - n) for j, n in shared.items()):
@@ -217,12 +226,14 @@ def brute_lines(texts):
     return out
 
 
-def test_line_dedup(spark, docs, texts, empty):
+@pytest.mark.parametrize("long", [line_dedup.LONG, 2])
+def test_line_dedup(spark, docs, texts, empty, long):
+    """A bound of two members makes lists take more words, and be compared in chunks."""
     rng = random.Random(11)
     more = {40_000 + k: "\n".join(" ".join(f"t{rng.randrange(14)}" for _ in range(12)) for _ in range(4)) for k in range(40)}
     both = docs.select(*docs.columns).unionByName(spark.createDataFrame([(i, t) for i, t in more.items()], "doc_id long, text string"), allowMissingColumns=True)
     want = brute_lines(texts | more)
-    got = {r["doc_id"]: r for r in line_dedup.clean(both).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.clean(both, long=long).collect()}
     assert {i: r["removed"] for i, r in got.items() if r["removed"]} == want
     for i, t in (texts | more).items():
         left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())) if t else t
@@ -230,6 +241,35 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.summary(empty).count() == 0
 
 
+def test_line_dedup_tries_every_partner(spark):
+    """Lines whose likeliest partner by the parities isn't similar, as brute force says."""
+    rng, texts = random.Random(3), {}
+    base = [f"w{k}" for k in range(60)]
+    for k in range(300):
+        line = base[:]
+        for _ in range(rng.choice([3, 5, 6, 7, 8])):
+            line[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        texts[k] = " ".join(line)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.removals(df).collect()} == brute_lines(texts)
+
+
+def test_line_dedup_with_null_ids_and_repeated_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "c b a\nnew"), (2, "c b a\nnew"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.clean(df).collect()), key=str)
+    assert got == sorted([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "new"), (2, "new"), (3, None)], key=str)
+
+
+def test_words_of_a_column():
+    texts = [None, "", "a B\n\nc", "  x y\n", "\n", "q" + "w" * 100 + " \u00e9 Z", "abcdefgh abcdefghi\x0bk\u0085l"]
+    for column in (pa.array(texts), pa.array(texts).slice(2), pa.array(texts, pa.large_string())):
+        found = _words.words_of(column)
+        want = [(i, n, w) for i, t in enumerate(column.to_pylist()) for n, x in enumerate((t or "").split("\n")) for w in x.encode().lower().split()]
+        assert [*zip(found.text, found.number, strict=True)] == [(i, n) for i, n, _ in want]
+        assert len({*zip(found.hashes.tolist(), (w for *_, w in want), strict=True)}) == len({w for *_, w in want}) == len({*found.hashes.tolist()})
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = {1: "All rights reserved.\n\nHome", 2: "all  RIGHTS reserved.\nhome page\n", 3: "ha ha ha ha ha ha\nha ha\nHome", 4: "reserved. All rights", 5: "a b c d", 6: "a b c d e\na b c\n \n", 7: None}
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
