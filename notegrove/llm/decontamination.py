@@ -7,19 +7,22 @@ band holds them all. An item's q-grams that most other items have too may be lef
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import small_batches, written
 
 Q = 10
 #: Edits allowed for each character of an item.
 RATE = 0.06
-#: Characters of items that one pass over the texts looks for; more items take more passes.
-PASS_CHARS = 8_000_000
+#: Characters of items that one pass over the texts looks for, which bounds what each task holds (some 150 MB); more items take
+#: more passes.
+PASS_CHARS = 2_000_000
 #: Characters hashed at a time.
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -57,9 +60,16 @@ class Item:
 
 
 class Index:
-    """Items and the places of their q-grams."""
+    """Items and the places of their q-grams; items too short to have one are looked up as they are."""
 
     def __init__(self, rows: list[tuple[int, str]]):
+        self.short = None
+        if short := [row for row in rows if len(row[1]) < Q]:
+            self.short = ahocorasick.Automaton()
+            for item_id, text in short:
+                self.short.add_word(text, (text, [*self.short.get(text, (text, []))[1], item_id]))
+            self.short.make_automaton()
+        rows = [row for row in rows if len(row[1]) >= Q]
         grams = [_grams(_codes(t)) for _, t in rows]
         unique, seen = np.unique(np.concatenate([np.unique(g) for g in grams]) if grams else np.zeros(0, np.uint64), return_counts=True)
         self.items, kept = [], []
@@ -155,6 +165,15 @@ class Index:
             if got:
                 found.setdefault((t, i), []).append((got[2], start + got[0], start + got[1]))
         out = []
+        for t, whole in enumerate(low if self.short else ()):
+            free: dict[str, int] = {}
+            for last, (short, ids) in self.short.iter(whole):
+                end = last + 1
+                start = end - len(short)
+                alone = not (whole[start - 1 : start].isalnum() or whole[end : end + 1].isalnum())
+                if alone and start >= free.get(short, 0):
+                    free[short] = end
+                    out += [(t, item_id, start, end, 0) for item_id in ids]
         for (t, i), places in found.items():
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(set(places)):
@@ -204,27 +223,30 @@ def align(item: str, region: str, budget: int) -> tuple[int, int, int] | None:
     return end - int(near[0]), end, edits
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items, PASS_CHARS characters at most in each but for a single longer item. Items are read in blocks
-    by id; a null item or one under Q characters has no q-gram and can't be found."""
+    by id; a null item or one without a character but white space can't be found."""
     texts = benchmark.selectExpr("cast(item_id as bigint) as item_id", "cast(text as string) as text").filter("length(text) > 0").distinct()
-    rows, size, out = [], 0, []
+    rows, size = [], 0
     for r in texts.orderBy("item_id", "text").toLocalIterator():
         low = lowered(r["text"]).strip()
-        if len(low) < Q:
+        if not low:
             continue
         if rows and size + len(low) > PASS_CHARS:
-            out.append(Index(rows))
+            yield Index(rows)
             rows, size = [], 0
         rows.append((r["item_id"], low))
         size += len(low)
-    return [*out, Index(rows)] if rows else out
+    if rows:
+        yield Index(rows)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, start_char, end_char (exclusive) and edits of each region of a whole text within RATE edits a character
-    of a whole item, after lower-casing and with all white space alike. Null and empty texts have none. Other columns are
-    ignored; repeated rows of docs give repeated rows, repeated items count once."""
+    of a whole item, after lower-casing and with all white space alike; items of under Q characters as they are, between
+    characters other than letters and digits. Null and empty texts have none; texts of any length are searched whole. Other
+    columns are ignored; repeated rows of docs give repeated rows, repeated items count once. With more than one pass each
+    pass is written before the next index is made."""
     small_batches(docs.sparkSession)
     names = ["doc_id", "item_id", "start_char", "end_char", "edits"]
     schema = ", ".join(f"{n} long" for n in names)
@@ -239,9 +261,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
 
         return run
 
-    found = [source.mapInArrow(runner(index), schema) for index in indexes(benchmark)]
-    out = found[0] if found else source.sparkSession.createDataFrame([], schema)
-    for more in found[1:]:
+    parts = []
+    for index in indexes(benchmark):
+        if parts:
+            parts[-1] = written(parts[-1], "leaks")
+        parts.append(source.mapInArrow(runner(index), schema))
+    out = parts[0] if parts else source.sparkSession.createDataFrame([], schema)
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
@@ -260,6 +286,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
         return run
 
-    for index in indexes(benchmark):
-        docs = docs.mapInArrow(runner(index), docs.schema)
+    for k, index in enumerate(indexes(benchmark)):
+        docs = (written(docs, "leaks-left") if k else docs).mapInArrow(runner(index), docs.schema)
     return docs

@@ -348,6 +348,18 @@ def test_decontamination(spark, docs, texts, empty):
     assert decontamination.without_leaks(docs, benchmark).count() == docs.count() - len({d for d, _ in exact | {x for x in got if x[0] in texts}})
 
 
+def test_decontamination_of_short_and_repeated_items(spark, monkeypatch):
+    items = [(1, "Yes, it is"), (2, "42"), (3, "Paris"), (3, "Paris"), (4, None), (5, " \n"), (6, "paris ")]
+    texts = {1: "In PARIS, not Parisian; paris", 2: "142 or 4 2", 3: "It's 42.", 4: None, 5: "", 6: "yes,\nit is"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    want = [(1, 3, 3, 8, 0), (1, 3, 24, 29, 0), (1, 6, 3, 8, 0), (1, 6, 24, 29, 0), (3, 2, 5, 7, 0), (6, 1, 0, 10, 0)]
+    for size in (decontamination.PASS_CHARS, 1):  # the second takes a pass for each item
+        monkeypatch.setattr(decontamination, "PASS_CHARS", size)
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        assert sorted(map(tuple, decontamination.find(docs, benchmark).collect())) == want
+        assert {r["doc_id"] for r in decontamination.without_leaks(docs, benchmark).collect()} == {2, 4, 5}
+
+
 def test_quality_classifier(spark, docs, empty):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
