@@ -91,8 +91,9 @@ class Discriminant:
 
 def fit(found: DataFrame, labels: DataFrame) -> Discriminant | None:
     """Over all rows of labels whose doc_id may be learned from: Spark sums counts, values and products by class, so
-    only a fixed number of sums reaches the driver. Labels other than 0 and 1, and null ones, are left out."""
-    learn = labels.filter(~held_out() & F.col("quality").isin(0, 1)).selectExpr("cast(doc_id as bigint) as doc_id", "quality")
+    only a fixed number of sums reaches the driver. Labels other than 0 and 1, and null ones, are left out; repeated rows of
+    labels count once."""
+    learn = labels.filter(~held_out() & F.col("quality").isin(0, 1)).selectExpr("cast(doc_id as bigint) as doc_id", "cast(quality as int) as quality").distinct()
     pairs = [*combinations_with_replacement(FEATURES, 2)]
     sums = [F.sum(f).alias(f) for f in FEATURES] + [F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs]
     by_class = {r["quality"]: r for r in found.join(learn, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), *sums).collect()}

@@ -9,13 +9,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import small_batches
 
-#: Labelled rows of each label that the chain is fitted on, at most: those first by a hash of doc_id.
-FIT_ROWS = 3000
+#: Labelled rows of each label that the chain is fitted on, and characters of their texts, at most: those first by a hash of
+#: doc_id.
+FIT_ROWS, FIT_CHARS = 3000, 24_000_000
 #: Signs that a model looks at, and the share of texts (three at least) that must have a sign: the words of one text and
 #: its near copies tell nothing.
 VOCABULARY, LEAST_SHARE = 1000, 1 / 300
@@ -28,7 +29,8 @@ FOLDS, STEPS, PENALTY = 3, 150, 0.5
 CUT = 0.35
 
 # General English words that name the first categories. A labelled toxic text with such a word is an
-# example of its category; the last category is the label itself.
+# example of its category, which its model has to tell from the other words: those that define it are hidden from it. The
+# last category is the label itself, and its model sees all words.
 SEEDS = {
     "insult": ("idiot", "moron", "loser", "clown", "scum", "fool", "jerk", "imbecile", "coward", "liar", "pig"),
     "contempt": ("stupid", "trash", "pathetic", "worthless", "disgusting", "garbage", "useless", "dumb", "vile", "filthy"),
@@ -42,10 +44,14 @@ def words_of(text: str) -> set[str]:
 
 
 def signs_of(words: set[str]) -> set[str]:
-    """The words, each beginning of one of them (`x-`), each beginning of two or more of them (`x--`), and the
-    categories with a seed among them (`category!`)."""
+    """The words, each beginning of one of them (`x-`), and each beginning of two or more of them (`x--`)."""
     stems = Counter(w[:n] for w in words for n in STEMS if len(w) >= n)
-    return words | {f"{s}-" for s in stems} | {f"{s}--" for s, n in stems.items() if n > 1} | {f"{c}!" for c in SEEDS if words.intersection(SEEDS[c])}
+    return words | {f"{s}-" for s in stems} | {f"{s}--" for s, n in stems.items() if n > 1}
+
+
+def defining(category: str) -> set[str]:
+    """The signs that tell of a category's seeds."""
+    return signs_of(set(SEEDS.get(category, ()))) | {f"{w[:n]}--" for w in SEEDS.get(category, ()) for n in STEMS}
 
 
 def _sigmoid(z):
@@ -98,8 +104,9 @@ class Chain:
         fold = np.argsort(np.argsort([hash_text(texts[i]) for i in rows])) % FOLDS
         before, models = np.zeros((len(rows), 0), np.float32), []
         one = np.ones((len(rows), 1), np.float32)
-        for y in goals:
-            full = np.hstack([x, before, one])
+        for category, y in zip(CATEGORIES, goals, strict=True):
+            shown = np.array([s not in defining(category) for s in vocabulary], bool)
+            full = np.hstack([x * shown, before, one])
             apart = np.zeros(len(rows), np.float32)
             for k in range(FOLDS):
                 out = fold == k
@@ -123,7 +130,7 @@ class Chain:
 
     def _columns(self, word: str) -> tuple[list[int], tuple[str, ...]] | tuple[()]:
         """A word's own columns, and its beginnings that are signs."""
-        own = [self.signs[s] for s in (word, *(f"{c}!" for c in SEEDS if word in SEEDS[c])) if s in self.signs]
+        own = [self.signs[word]] if word in self.signs else []
         stems = tuple(s for n in STEMS if len(word) >= n and ((s := word[:n]) + "-" in self.signs or s + "--" in self.signs))
         if len(self._known) >= CACHED_WORDS:
             self._known.clear()
@@ -153,8 +160,9 @@ def hash_text(text: str) -> str:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> Chain | None:
-    """Fitted on at most fit_rows rows of each label, the first by a hash of doc_id; each label weighs as it does
-    among all labels. The rows' ids are broadcast: they are bounded by fit_rows."""
+    """Fitted on at most fit_rows rows of each label, the first by a hash of doc_id, as far as they have FIT_CHARS characters
+    together; each label weighs as it does among all labels. The rows' ids are broadcast: they are bounded by fit_rows.
+    Repeated rows count once: of labels one, of documents that whose text has the least hash."""
     known = labels.filter(F.col("toxic").isin(0, 1)).selectExpr("cast(doc_id as bigint) as doc_id", "cast(toxic as int) as toxic").dropDuplicates(["doc_id"])
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
@@ -164,7 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int =
     if len(share) < 2:
         return None
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"cast(`{text}` as string) as text").dropna()
-    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # over fit_rows rows at most
+    some = once.withColumn("chars", F.sum(F.length("text")).over(first)).filter(F.col("chars") <= FIT_CHARS)
+    rows = sorted(some.collect(), key=lambda r: (r["doc_id"], r["text"]))
     toxic = np.array([r["toxic"] for r in rows])
     weight = np.array([share[y] / max(1, (toxic == y).sum()) for y in toxic], float)
     return Chain.fit([r["text"] for r in rows], toxic, weight / weight.mean() if len(weight) else weight)
@@ -173,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int =
 def score(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, p_insult, p_contempt, p_toxic and toxic (p_toxic >= CUT) of every whole text. Other columns of docs are
     ignored. A null or empty text has no words: its probabilities are
-    those of the intercepts. Without examples of both labels every probability is 0. Repeated rows give repeated rows."""
+    those of the intercepts. Texts of any length are read whole. Without examples of both labels every probability is 0. Repeated rows give repeated rows."""
     small_batches(docs.sparkSession)
     chain = fit(docs, labels, text)
 

@@ -44,9 +44,9 @@ RULES = (
 )
 #: Wrong hits of each level after the first.
 LATER = 1 / 8
-#: Bits of one level that are sent to all tasks (8 MiB). A list that needs more is looked up by a shuffled join.
+#: Bits of one level that are sent to all tasks (8 MiB). A list that needs more is cut into shards by a hash of the key, each
+#: with a cascade of its own.
 MOST_BITS = 1 << 26
-MOST_LEVELS = 40
 
 
 @dataclass(frozen=True)
@@ -86,12 +86,14 @@ def ruled(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -
     return split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
 
 
-def _built(keys: DataFrame, n: int, wrong: float, first_seed: int) -> Level | None:
-    """The filter of n keys with that share of wrong hits; None if it would be over MOST_BITS."""
+def _size(n: int, wrong: float) -> tuple[int, int]:
+    """Bits and hashes of a filter of n keys with that share of wrong hits."""
     hashes = max(1, round(math.log2(1 / wrong)))
-    bits = max(64, 64 * math.ceil(n * hashes / math.log(2) / 64))
-    if bits > MOST_BITS:
-        return None
+    return max(64, 64 * math.ceil(n * hashes / math.log(2) / 64)), hashes
+
+
+def _built(keys: DataFrame, n: int, wrong: float, first_seed: int) -> Level:
+    bits, hashes = _size(n, wrong)
     empty = Level(keys, bits, tuple(range(first_seed, first_seed + hashes)))
     at = keys.select(F.explode(F.array(*empty.positions(F.col("host")))).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))
@@ -102,22 +104,34 @@ def _built(keys: DataFrame, n: int, wrong: float, first_seed: int) -> Level | No
     return Level(written(row, "bloom-level"), bits, empty.seeds)
 
 
-def cascade(universe: DataFrame) -> list[Level] | None:
-    """Levels for the universe, a table of distinct host and listed; None if the list needs too large a filter."""
-    size = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+def _first_wrong(listed_keys: int, others: int) -> float:
+    """Wrong hits of the first level: as many as there are listed keys, or so."""
+    return min(0.5, max(1e-6, listed_keys / max(1, others) / math.sqrt(2)))
+
+
+def sizes(universe: DataFrame) -> tuple[int, int]:
+    """Listed keys and others."""
+    found = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+    return found.get(True, 0), found.get(False, 0)
+
+
+def shards(listed_keys: int, others: int) -> int:
+    """So many parts, by a hash, keep the first level within MOST_BITS in each; later ones are smaller."""
+    bits, _ = _size(listed_keys, _first_wrong(listed_keys, others))
+    return 1 if bits <= MOST_BITS else math.ceil(1.1 * bits / MOST_BITS)
+
+
+def cascade(universe: DataFrame) -> list[Level]:
+    """Levels for the universe, a table of distinct host and listed, until no key is taken wrongly."""
+    listed_keys, others = sizes(universe)
     levels: list[Level] = []
-    while len(levels) < MOST_LEVELS:
+    while True:
         left = universe.filter(F.col("listed") if len(levels) % 2 == 0 else ~F.col("listed"))
         left = reduce(lambda rows, level: rows.filter(level.has(F.col("host"))), levels, left)
-        n = left.count() if levels else size.get(True, 0)
+        n = left.count() if levels else listed_keys
         if n == 0:
             return levels
-        wrong = LATER if levels else min(0.5, max(1e-6, n / max(1, size.get(False, 0)) / math.sqrt(2)))
-        level = _built(left, n, wrong, 64 * len(levels))
-        if level is None:
-            return None
-        levels.append(level)
-    return None
+        levels.append(_built(left, n, LATER if levels else _first_wrong(listed_keys, others), 64 * len(levels)))
 
 
 def listed(levels: list[Level], key: Column) -> Column:
@@ -140,13 +154,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", b
         marked = blocked_hosts.select("host", F.lit(True).alias("listed")).unionByName(found.select("host", F.lit(False).alias("listed")))
         universe = marked.groupBy("host").agg(F.max("listed").alias("listed"))
     universe = written(universe, "url-hosts")
-    levels = cascade(universe)
-    if levels is None:
-        known = universe.filter("listed").select(F.col("host").alias("listed_host"))
-        found, inside = found.join(known, found["host"] == known["listed_host"], "left"), F.col("listed_host").isNotNull()
-    else:
-        inside = listed(levels, F.col("host"))
-    method = F.when(inside, "block").otherwise("allow")
+    n = shards(*sizes(universe))
+    if n == 1:
+        return _judged(found, cascade(universe))
+    shard = F.pmod(F.xxhash64("host", F.lit(-1)), F.lit(n))
+    found, universe = (written(rows.withColumn("shard", shard), "url-shards") for rows in (found, universe))
+    parts = [_judged(found.filter(F.col("shard") == k), cascade(universe.filter(F.col("shard") == k).drop("shard"))) for k in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _judged(found: DataFrame, levels: list[Level]) -> DataFrame:
+    method = F.when(listed(levels, F.col("host")), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"))
 
 

@@ -309,6 +309,16 @@ def test_cascade_is_exact(spark):
     assert url_filter.cascade(keys.filter("not listed")) == []
 
 
+def test_url_filter_in_shards(spark, monkeypatch):
+    """A list too large for one filter gives the same verdicts; other columns and repeated rows don't matter."""
+    pages = spark.range(3000).selectExpr("id % 2900 as page_id", "concat('http://h', id % 1700, if(id % 3 = 0, '.net/es/x', '.org/y')) as url", "'c' as rule", "'c' as verdict", "'c' as shard")
+    whole = sorted(map(tuple, url_filter.judge(pages).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BITS", 1024)
+    assert url_filter.shards(*(1000, 700)) > 1 and sorted(map(tuple, url_filter.judge(pages).collect())) == whole and len(whole) == 3000
+    blocked = {h for _, h, _, _, v in whole if v == "block"}
+    assert blocked == {h for _, h, p, _, _ in whole if p.startswith("/es/") and h.endswith(".net")} and len(blocked) > 900
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item):
@@ -398,6 +408,67 @@ def test_chain_feeds_earlier_categories():
     assert toxicity.Chain.fit(texts, np.ones(120), np.ones(120)) is None
 
 
+def test_chain_by_hand():
+    """Signs, hidden definers and fed probabilities against a plain computation; the labels can be told without the seeds."""
+    texts = [f"{a} {b} filler{k % 7}" for k in range(40) for a, b in (("idiot", "grumbling"), ("pathetic", "sneering"), ("kind", "smiling"))]
+    chain = toxicity.Chain.fit(texts, np.array([1, 1, 0] * 40), np.ones(120))
+    names = list(chain.signs)
+    for c, model in zip(toxicity.CATEGORIES, chain.models, strict=True):
+        hidden = [k for k, n in enumerate(names) if n in toxicity.defining(c)]
+        assert not model[hidden].any() and (c == "toxic" or hidden)
+    for t in ("idiot grumbling", "sneering", "smiling kind", "", "idiots grumbled grumblers"):
+        x = np.array([n in toxicity.signs_of(toxicity.words_of(t)) for n in names], float)
+        want: list[float] = []
+        for model in chain.models:
+            want.append(1 / (1 + np.exp(-(np.concatenate([x, want, [1.0]]) @ model))))
+        assert np.allclose(chain.probabilities(t), want, atol=1e-5)
+    insult, contempt, _ = np.array([chain.probabilities(t) for t in ("grumbling", "sneering", "smiling")]).T[:3]
+    assert insult[0] > max(insult[1], insult[2]) and contempt[1] > max(contempt[0], contempt[2])
+
+
+def test_toxicity_on_rows_that_were_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic is not null")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 1
+    rows = toxicity.score(docs, labels.filter(~part)).join(labels.filter(part).select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    hit, wrong = sum(r["toxic"] and r["label"] == 1 for r in rows), sum(r["toxic"] and r["label"] == 0 for r in rows)
+    assert hit >= 0.7 * sum(r["label"] == 1 for r in rows) > 3 and wrong <= 0.02 * len(rows)
+
+
+def test_toxicity_with_repeated_and_clashing_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 50, f"text {k % 50} " + ("idiot" if k % 50 < 20 else "cat"), "c") for k in range(150)] + [(None, "idiot", "c"), (99, None, "c")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(k % 50, int(k % 50 < 20), 1.0) for k in range(100)] + [(None, 1, 0.0), (3, None, 0.0)], "doc_id long, toxic int, score double")
+    seen = []
+    fit = toxicity.Chain.fit.__func__
+    monkeypatch.setattr(toxicity.Chain, "fit", classmethod(lambda cls, texts, toxic, weight: seen.append(len(texts)) or fit(cls, texts, toxic, weight)))
+    assert toxicity.score(docs, labels).count() == 152 and seen == [50]
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 60)
+    toxicity.score(docs, labels)
+    assert 2 < seen[1] < 50
+
+
+def test_discriminant_by_hand(spark):
+    """Scores against densities worked out from all learnable rows in plain numpy; repeated labels count once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] % 1 == 0 and r["quality"] in (0, 1)}
+    import zlib
+
+    x = {i: np.array(quality_classifier.statistics(t or "")) for i, t in rows.items()}
+    groups = [np.array([x[i] for i, q in known.items() if q == c and i in x and zlib.crc32(str(i).encode()) % 4 != 2]) for c in (0, 1)]
+    n = np.array([len(g) for g in groups])
+    own = [np.cov(g.T, bias=True) for g in groups]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / n.sum()
+    a, b = quality_classifier.POOLED, quality_classifier.ROUND
+    shrunk = [(1 - b) * ((1 - a) * c + a * pooled) + b * np.diag(np.diag(pooled) + 1e-9) for c in own]
+    density = lambda v, c: np.log(n[c] / n.sum()) - 0.5 * np.linalg.slogdet(shrunk[c])[1] - 0.5 * (v - groups[c].mean(0)) @ np.linalg.solve(shrunk[c], v - groups[c].mean(0))
+    for r in quality_classifier.classify(docs, labels.unionByName(labels)).collect():
+        v = x[r["doc_id"]]
+        assert abs(r["score"] - 1 / (1 + np.exp(np.clip(density(v, 0) - density(v, 1), -700, 700)))) < 1e-6
+        assert r["predicted"] == int(r["score"] >= quality_classifier.CUT)
+
+
 def test_pipeline(spark):
     """Each stage works on what the one before kept, as brute force says."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
