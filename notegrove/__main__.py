@@ -7,26 +7,50 @@ import json
 import sys
 
 from .engine import VaultEngine, json_rows
-from .operators import catalogue, diagnostics
+from .index import SavedVault, save_embeddings
+from .lsp import language_server
+from .operators import diagnostics
 from .session import session
-from .tools import call
+from .sources import vault
+from .streaming import watch
+from .tools import call, serve
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="notegrove")
     p.add_argument("vault")
-    p.add_argument("command", choices=["index", "search", "note", "backlinks", "stats", "orphans", "wanted", "path", "check", "graph-rag", "moc", "similar", "tools"])
+    p.add_argument("command", choices=["index", "search", "note", "backlinks", "stats", "orphans", "wanted", "path", "check", "graph-rag", "moc", "similar", "tools", "graph-stats", "topology-train", "serve", "watch", "lsp"])
     p.add_argument("args", nargs="*")
-    p.add_argument("--out", help="index: folder for the tables; moc: folder for the pages")
+    p.add_argument("--out", help="moc: folder for the pages; topology-train: folder for the vectors")
+    p.add_argument("--index", help="folder of the saved tables: index and watch bring it up to date, the rest reads it")
+    p.add_argument("--full", action="store_true", help="index: every file, changed or not")
+    p.add_argument("--events", help="watch: folder of JSON lines with path, kind and ts")
+    p.add_argument("--port", type=int, default=8080)
     p.add_argument("--limit", type=int, default=10)
     p.add_argument("--tag")
     p.add_argument("--strict", action="store_true")
     a = p.parse_args(argv)
-    e = VaultEngine.open(session(master="local[*]"), a.vault)
+    spark = session(master="local[*]")
+    if a.index and a.command in ("index", "watch"):
+        kept = SavedVault(spark, a.index)
+        if a.command == "watch":
+            actions = watch.settled(vault.file_events(spark, a.events))
+            watch.sync(actions.filter(vault.is_watched()), kept.applier(a.vault), f"{a.index}/checkpoint").awaitTermination()
+            return 0
+        print(json.dumps({r["action"]: r["count"] for r in kept.refresh(a.vault, a.full).groupBy("action").count().collect()}))
+        return 0
+    e = VaultEngine.saved(spark, a.index) if a.index else VaultEngine.open(spark, a.vault)
     if a.command == "index":
-        if a.out:
-            catalogue.save(e.tables, a.out)
         answer = json_rows(e.stats())[0]
+    elif a.command == "graph-stats":
+        answer = e.graph_stats()
+    elif a.command == "topology-train":
+        save_embeddings(e.topology(), "node2vec", a.out)
+        answer = {"saved": a.out}
+    elif a.command == "serve":
+        serve(e, a.port).serve_forever()
+    elif a.command == "lsp":
+        return language_server(e, sys.stdin.buffer, sys.stdout.buffer)
     elif a.command == "search":
         answer = json_rows(e.search(a.args[0], a.limit, a.tag))
     elif a.command == "note":

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .index import SavedVault
 from .operators import catalogue, diagnostics, fts, graph, markdown, rag, retrieval, synthesis, topology
 from .sources import vault
 
@@ -22,6 +23,13 @@ class VaultEngine:
     def open(cls, spark: SparkSession, root: str) -> VaultEngine:
         return cls(spark, vault.files(spark, root))
 
+    @classmethod
+    def saved(cls, spark: SparkSession, root: str) -> VaultEngine:
+        """Over the tables that an index keeps, without parsing a note."""
+        engine = cls(spark, spark.createDataFrame([], "path string, content string"))
+        engine.__dict__["tables"] = SavedVault(spark, root).tables()
+        return engine
+
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
         return markdown.tables(markdown.parse(self.notes).persist())
@@ -83,7 +91,8 @@ class VaultEngine:
         return graph.wanted(self.graph)
 
     def graph_rag(self, seeds: list[str], hops: int = rag.DEFAULT_HOPS, paths: int = rag.DEFAULT_PATHS, content: bool = True) -> dict:
-        return rag.context(rag.build(self.tables), self.tables, self.ranks, seeds, hops, paths, content)
+        g = rag.build(self.tables)
+        return rag.context(g, self.tables, rag.ranks(g), seeds, hops, paths, content)
 
     def moc(self, topic: str | None = None, root: str | None = None) -> dict[str, str]:
         made = synthesis.pages(self.tables, self.graph, self.ranks, topic)
@@ -124,6 +133,13 @@ class VaultEngine:
         row = (s.filter(F.lower("heading") == heading.lower()) if heading else s).orderBy("ord").head()
         return (row["content"] if heading else row["content"][:800]) if row else None
 
+    def graph_stats(self) -> dict:
+        """Counts of notes, wanted notes, links, orphans, and the ten notes of the highest rank."""
+        g = self.graph
+        kinds = {r["node_type"]: r["n"] for r in g.vertices.groupBy("node_type").agg(F.count("*").alias("n")).collect()}
+        top = self.ranks.join(g.vertices.select("id", "title"), "id").orderBy(F.desc("pagerank"), "title").limit(10).select("title", F.round("pagerank", 6).alias("pagerank"))
+        return {"documents": kinds.get("document", 0), "dangling": kinds.get("dangling", 0), "links": g.edges.count(), "orphans": self.orphans().count(), "top": json_rows(top)}
+
     def d3(self) -> str:
         """The graph as JSON for a force-directed view; as large as the graph."""
         nodes, links = graph.export(self.graph, self.ranks)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import markdown
+
 Tables = dict[str, DataFrame]
 #: Child tables and the column that names their document.
 OWNER = {"sections": "doc_id", "links": "source_doc_id", "tags": "doc_id", "attributes": "doc_id", "chunks": "doc_id", "block_ids": "doc_id"}
@@ -139,4 +141,6 @@ def save(t: Tables, root: str, buckets: int = 256) -> None:
 
 
 def load(spark, root: str) -> Tables:
-    return {name: spark.read.parquet(f"{root}/{name}").drop("doc_bucket") for name in ("documents", *OWNER)}
+    """The saved tables; one without a row has no file to tell its columns."""
+    empty = markdown.tables(spark.createDataFrame([], markdown.PARSED))
+    return {name: spark.read.schema(df.withColumn("doc_bucket", F.lit(0)).schema).parquet(f"{root}/{name}").select(df.columns) for name, df in empty.items()}

@@ -140,6 +140,14 @@ def shortest_path(g: Graph, source: str, target: str) -> list[str] | None:
     return [titles[i] for i in reversed(ids)]
 
 
+def focus(g: Graph, title: str, hops: int = 1) -> Graph:
+    """The part of the graph within some steps of a title, whichever way the links go."""
+    both = g.edges.select("src", "dst").unionByName(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = settled(hops_from(Graph(g.vertices, both), title, hops).select("id"), "focus")
+    edges = g.edges.join(near.select(F.col("id").alias("src")), "src", "left_semi").join(near.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return Graph(g.vertices.join(near, "id", "left_semi"), edges)
+
+
 def hops_from(g: Graph, title: str, most: int) -> DataFrame:
     """id and hops of everything within `most` directed steps of a title."""
     seen = g.vertices.filter(F.lower("title") == title.lower()).select("id", F.lit(0).alias("hops"))

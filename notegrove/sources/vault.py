@@ -27,11 +27,18 @@ def rule_pattern(rule: str) -> tuple[str, bool] | None:
 
 def ignored(spark: SparkSession, root: str, path: Column) -> Column:
     """Whether the ignore file at the root takes a path out: the last rule that fits decides."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select(F.decode("content", "UTF-8").alias("text"))
-    out = F.lit(False)
-    for row in files.collect():  # one small file
-        for pattern, takes_out in filter(None, map(rule_pattern, row["text"].splitlines())):
-            out = F.when(path.rlike(pattern), takes_out).otherwise(out)
+    jvm, out = spark.sparkContext._jvm, F.lit(False)
+    file = jvm.org.apache.hadoop.fs.Path(root, ".gitignore")  # Spark's readers pass over hidden files
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(file):
+        return out
+    stream = fs.open(file)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    for pattern, takes_out in filter(None, map(rule_pattern, text.splitlines())):
+        out = F.when(path.rlike(pattern), takes_out).otherwise(out)
     return out
 
 

@@ -19,6 +19,24 @@ TOOLS = {
 }
 
 
+def _schema(required: dict[str, str], optional: dict[str, str] | None = None) -> dict:
+    kinds = {"strings": {"type": "array", "items": {"type": "string"}}}
+    fields = {n: kinds.get(k, {"type": k}) for n, k in (required | (optional or {})).items()}
+    return {"type": "object", "properties": fields, "required": list(required)}
+
+
+SCHEMAS = {
+    "search": ("Notes by words, the best first", _schema({"query": "string"}, {"limit": "integer", "tag": "string"})),
+    "get_note": ("A note with its sections and links", _schema({"note": "string"})),
+    "backlinks": ("Links to a note", _schema({"note": "string"})),
+    "graph_neighbors": ("Notes within some links of a note", _schema({"note": "string"}, {"depth": "integer"})),
+    "unresolved_links": ("Links to notes that don't exist", _schema({})),
+    "stats": ("Counts of notes, links and tags", _schema({})),
+    "graph_rag": ("Context for some notes: paths, a tree, and the notes on them", _schema({"seeds": "strings"}, {"hops": "integer", "paths": "integer"})),
+    "generate_moc": ("Maps of content for one topic or all", _schema({}, {"topic": "string"})),
+}
+
+
 def call(engine: VaultEngine, message: str) -> str | None:
     """The answer to one JSON-RPC message; None for notifications."""
     number = None
@@ -34,7 +52,7 @@ def call(engine: VaultEngine, message: str) -> str | None:
     elif method == "ping":
         result = {}
     elif method == "tools/list":
-        result = {"tools": [{"name": n, "inputSchema": {"type": "object"}} for n in TOOLS]}
+        result = {"tools": [{"name": n, "description": what, "inputSchema": schema} for n, (what, schema) in SCHEMAS.items()]}
     elif method == "tools/call":
         try:
             answer = TOOLS[params["name"]](engine, params.get("arguments") or {})
@@ -60,3 +78,26 @@ def http(engine: VaultEngine, url: str) -> tuple[int, str]:
         return 404, json.dumps({"error": "not found"})
     name, args = routes[parts.path]
     return 200, json.dumps(TOOLS[name](engine, args))
+
+
+def serve(engine: VaultEngine, port: int = 8080, host: str = "127.0.0.1"):
+    """An HTTP server for the API's paths, to be started by serve_forever()."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802  the base class's name
+            try:
+                status, body = http(engine, self.path)
+            except Exception as e:  # a failed query is an answer too
+                status, body = 500, json.dumps({"error": str(e)[:500]})
+            data = body.encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)

@@ -1,7 +1,9 @@
 """The engine over small vaults; expected values come from the behaviour to match."""
 
+import io
 import json
 import random
+import re
 import sqlite3
 from datetime import datetime, timedelta
 
@@ -9,9 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notegrove import tools
+from notegrove import index, lsp, tools
 from notegrove.engine import VaultEngine
-from notegrove.functions import fuzzy
+from notegrove.functions import fuzzy, security
 from notegrove.functions import text as fx
 from notegrove.operators import catalogue, diagnostics, fts, graph, markdown, rag, synthesis, topology, vectors
 from notegrove.plans import catalogue as queries
@@ -332,7 +334,7 @@ def test_link_and_field_scanners():
         ("wikilink", "x [[y", None, None, None),
     ]
     fields = markdown.fields
-    assert fields("[a:: 1] b:: two, c::three [d::] e:: [f:: 4]") == [("a", "1"), ("f", "4"), ("b", "two"), ("c", "three [d::")]
+    assert fields("[a:: 1] b:: two, c::three [d::] e:: [f:: 4]") == [("a", "1"), ("f", "4"), ("b", "two"), ("c", "three [d::"), ("e", "[f:: 4")]
     assert fields("[k:: v] k:: w") == [("k", "v")] and fields("x:y::z ::q") == []
 
 
@@ -356,3 +358,88 @@ def test_broken_anchors_suggest_what_the_note_has(spark):
     found = diagnostics.lint(markdown.tables(markdown.parse(notes)))
     got = {(r["code"], r["target"]): r["suggested"] for r in found.collect()}
     assert got == {("W002", "a#Introductoin"): ["[[a#Introduction]]"], ("W003", "a#^block-on"): ["[[a#^block-one]]"], ("W002", "a#Nothing like it"): []}
+
+
+def test_saved_vault_follows_its_folder(spark, tmp_path):
+    folder, saved = tmp_path / "notes", index.SavedVault(spark, str(tmp_path / "saved"))
+    folder.mkdir()
+    write = lambda name, text: (folder / name).write_text(text)
+    write("a.md", "# A\n[[B]] #one\n"), write("b.md", "# B\n"), write("c.md", "# C\n[[A]]\n")
+    done = lambda **k: {r["path"]: r["action"] for r in saved.refresh(str(folder), **k).collect()}
+    assert done() == {"a.md": "insert", "b.md": "insert", "c.md": "insert"} and done() == {}
+    write("a.md", "# A\n[[C]] and more\n"), (folder / "c.md").unlink(), write("d.md", "# D\n")
+    assert done(only=spark.createDataFrame([("d.md",)], "path string")) == {"d.md": "insert"}
+    assert done() == {"a.md": "update", "c.md": "delete"}
+    fresh, kept = VaultEngine.open(spark, str(folder)).tables, VaultEngine.saved(spark, saved.root).tables
+    for name, rows in fresh.items():
+        assert sorted(map(str, rows.collect())) == sorted(map(str, kept[name].select(rows.columns).collect())), name
+    assert {r["path"] for r in saved.manifest().collect()} == {"a.md", "b.md", "d.md"} and saved.events().count() == 6
+    saved.applier(str(folder))(spark.createDataFrame([("a.md",)], "path string"), spark.createDataFrame([("b.md",)], "path string"))
+    assert saved.events().count() == 6  # nothing had changed
+    assert set(done(full=True).values()) == {"update"}
+
+
+def test_saved_embeddings(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<double>")
+    root = str(tmp_path / "vectors")
+    index.save_embeddings(rows, "m1", root), index.save_embeddings(rows.limit(1), "m2", root), index.save_embeddings(rows, "m1", root)
+    assert index.load_embeddings(spark, root).count() == 3 and index.load_embeddings(spark, root, "m1", ["b"]).head()["embedding"] == [0.0, 1.0]
+
+
+def test_security(spark, tmp_path):
+    (tmp_path / "v").mkdir(), (tmp_path / "v" / "a.md").write_text("x"), (tmp_path / "out.md").write_text("y")
+    (tmp_path / "v" / "link.md").symlink_to(tmp_path / "out.md")
+    root = str(tmp_path / "v")
+    assert security.read_note(root, "s/../a.md") == "x"
+    for bad in ("../out.md", "/etc/passwd", "link.md", "C:/x", "a\x00", "s/../../out.md"):
+        with pytest.raises(security.OutsideVault):
+            security.within_vault(root, bad)
+    notes = {"a": "1 {b} {c}", "b": "2 {a}", "c": "3 {zzz}"}
+    embeds = lambda t: [(m.start(), m.end(), m[1]) for m in re.finditer(r"\{(\w+)\}", t)]
+    assert security.embedded_text("a", notes, embeds) == "1 2 <!-- embed cycle: a --> 3 {zzz}"
+    deep = {f"n{k}": f"{{n{k + 1}}}" for k in range(9)} | {"n9": "end"}
+    assert security.embedded_text("n0", deep, embeds) == "<!-- embed too deep: n6 -->"
+    assert security.path_of(security.uri_of("/a b/é.md")) == "/a b/é.md"
+    df = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<double>").select(security.packed_vector("v").alias("b"))
+    assert [r["v"] for r in df.select(security.unpacked_vector("b").alias("v")).collect()] == [[1.5, -2.0], None]
+
+
+def test_language_server(spark):
+    notes = [("a.md", "# Alpha\nFirst words.\n## Part\nMore.\n"), ("b.md", "# Beta\n[[Alpha#Part]]\n")]
+    uri, line = "file:///v/b.md", "see [[Alpha#Part]] and [[Alhpa]]"
+    at = lambda c: {"textDocument": {"uri": uri}, "position": {"line": 0, "character": c}}
+    asked = [
+        {"id": 1, "method": "initialize", "params": {"rootUri": "file:///v"}}, {"method": "textDocument/didOpen", "params": {"textDocument": {"uri": uri, "text": line}}},
+        {"id": 2, "method": "textDocument/definition", "params": at(8)}, {"id": 3, "method": "textDocument/hover", "params": at(8)},
+        {"id": 4, "method": "textDocument/completion", "params": at(8)}, {"id": 5, "method": "shutdown"}, {"method": "exit"},
+    ]
+    source, sink = io.BytesIO(), io.BytesIO()
+    for m in asked:
+        lsp.write_message(source, m)
+    source.seek(0)
+    assert lsp.language_server(VaultEngine(spark, spark.createDataFrame(notes, "path string, content string")), source, sink) == 0
+    sink.seek(0)
+    out = [*iter(lambda: lsp.read_message(sink), None)]
+    assert out[0]["result"]["capabilities"]["hoverProvider"] and [d["code"] for d in out[1]["params"]["diagnostics"]] == ["W001"]
+    assert out[2]["result"] == {"uri": "file:///v/a.md", "range": {k: {"line": 2, "character": 0} for k in ("start", "end")}}
+    assert out[3]["result"]["contents"]["value"].startswith("## Part") and [x["label"] for x in out[4]["result"]] == ["Alpha"]
+
+
+def test_context_ranks_and_focus(spark):
+    notes = [("a.md", "# A\n[[B]] #t\n"), ("b.md", "# B\n"), ("c.md", "# C\n#t\n"), ("d.md", "# D\n[[A]]\n"), ("e.md", "# E\n[[D]]\n")]
+    e = VaultEngine(spark, spark.createDataFrame(notes, "path string, content string"))
+    ranks = {r["id"]: r["raw"] for r in rag.ranks(rag.build(e.tables)).collect()}
+    assert abs(sum(ranks.values()) - 1) < 1e-9 and max(ranks, key=ranks.get) == "a.md" and ranks["c.md"] > ranks["e.md"] * 0.5
+    near = graph.focus(e.graph, "A", 1)
+    assert {r["title"] for r in near.vertices.collect()} == {"A", "B", "D"} and near.edges.count() == 2
+
+
+def test_vector_sweep_and_errors(spark):
+    v = vectors.random_vectors(spark, 600, 24)
+    q = v.filter("vec_id % 40 = 0").withColumnRenamed("vec_id", "query_id")
+    rows = {(r["k"], r["method"]): r["recall"] for r in vectors.sweep(v, q, (5, 10))}
+    assert rows[5, "exact"] == 1.0 and min(rows.values()) >= 0.9 and len(rows) == 6
+    e = vectors.sq8_errors(v).head()
+    assert e["pairs"] > 100 and e["mean_error"] < 0.005 and e["max_error"] < 0.02
+    p = vectors.percentiles(spark.range(1, 101).selectExpr("cast(id as double) as ms", "'x' as kind"), "ms", "kind").head()
+    assert (p["n"], p["mean"], p["p50"], p["p95"], p["p99"]) == (100, 50.5, 50.0, 95.0, 99.0)
