@@ -344,6 +344,14 @@ def v06_hnsw_top_k(spark, sf_dir):
     return vectors.hnsw_top_k(e, _vector_queries(e)).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
+@query()
+def v11_hnsw_recall(spark, sf_dir):
+    """The share of each query's ten nearest that the index finds; the tests ask for 0.9 on the driver's vectors."""
+    e = _read(spark, sf_dir, "embeddings")
+    q = _vector_queries(e)
+    return vectors.recall(vectors.hnsw_top_k(e, q), vectors.top_k(e, q))
+
+
 @query("""
 with v as (select vec_id, embedding::double[] as e from embeddings),
 s as (select vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / 127.0 as scale from v),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: loops cut their lineage there. Deleted when the application ends."""
+    """df written to the shared folder and read again: lineage ends there, so a lost executor costs a reread and no
+    recomputation. released() deletes the table, or the end of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stage_path = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that settled() made, and let Spark delete what the stages behind them have shuffled: it does so once
+    the driver's JVM finds nothing that refers to it."""
+    for table in tables:
+        where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._stage_path)
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()

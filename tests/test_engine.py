@@ -443,3 +443,29 @@ def test_vector_sweep_and_errors(spark):
     assert e["pairs"] > 100 and e["mean_error"] < 0.005 and e["max_error"] < 0.02
     p = vectors.percentiles(spark.range(1, 101).selectExpr("cast(id as double) as ms", "'x' as kind"), "ms", "kind").head()
     assert (p["n"], p["mean"], p["p50"], p["p95"], p["p99"]) == (100, 50.5, 50.0, 95.0, 99.0)
+
+
+def test_index_recall_on_the_driver_vectors(spark):
+    rows = queries.v11_hnsw_recall(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) >= 25 and np.mean([r["recall"] for r in rows]) >= 0.9
+
+
+def test_query_blocks(spark, monkeypatch):
+    v = vectors.random_vectors(spark, 90, 8)
+    q = v.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    whole = [sorted(map(tuple, f(v, q, 3).collect())) for f in (vectors.top_k, vectors.hnsw_top_k)]
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    assert [sorted(map(tuple, f(v, q, 3).collect())) for f in (vectors.top_k, vectors.hnsw_top_k)] == whole and len(whole[0]) == 27
+
+
+def test_walks_draw_by_weight(spark):
+    links = [("a", "b", 1.0), ("a", "c", 3.0), ("a", "d", 0.5), ("c", "d", 2.0)]
+    both = spark.createDataFrame(links + [(v, u, w) for u, v, w in links], "u string, v string, weight double")
+    slots = topology._dealt(both)
+    assert slots.count() <= 2 * both.count() and slots.select("u", "v").distinct().count() == both.count()
+    rows = topology.walks(both, topology.Config(walks=400, walk_length=3)).collect()
+    assert len(rows) == 1600 and all(len(r["nodes"]) == 3 for r in rows)
+    steps = [(r["nodes"][k], r["nodes"][k + 1]) for r in rows for k in (0, 1)]
+    out = [v for u, v in steps if u == "a"]
+    assert {*steps} <= {(r["u"], r["v"]) for r in both.collect()}
+    assert all(abs(out.count(v) / len(out) - w / 4.5) < 0.06 for u, v, w in links if u == "a")
