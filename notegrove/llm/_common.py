@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import unicodedata
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import released
+from ..storage import settled as written
+
+__all__ = ["BEYOND_LATIN", "LATIN_END", "LETTER", "NUMBER", "SPACE", "released", "small_batches", "table", "written"]
+
 #: Rows and bytes of one Arrow batch: long texts must not add up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -23,39 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Only a session on this machine alone does without
-    that setting."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or "/tmp/notegrove-checkpoints"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends there, so a lost executor
-    costs a reread and no recomputation. released() deletes it, or the end of the application."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._stage_path = path
-    return table
-
-
-def released(*tables: DataFrame) -> None:
-    """Delete tables that written() made, and let Spark delete what the stages behind them have shuffled: it does so once
-    the driver's JVM finds nothing that refers to it."""
-    for table in tables:
-        spark = table.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._stage_path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
-
-
 #: Up to this code point the Unicode classes below are the same in every library used here.
 LATIN_END = 0x180
 

@@ -491,6 +491,23 @@ def test_pipeline(spark):
     assert sorted(r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["ids_sha256"] for r in docs.collect())
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows and clashing names: rows that no stage has a reason to drop stay."""
+    texts = [(None, "a plain text about cats"), (1, None), (2, ""), (3, "one two three four\nfour three two one"), (3, "one two three four\nfour three two one"), (4, "x y\n\n")]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], COLUMNS)
+    for name in ("removed", "kept", "toxic", "component_id", "score", "item_id", "doc", "line", "n_tokens"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    for docs, left in ((odd, 6), (odd.limit(0), 0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+            assert docs.count() == left and (name == "bpe" or docs.columns == columns), name
+            if name == "line_dedup" and left:
+                assert sorted(map(str, {(r["doc_id"], r["text"]) for r in docs.collect()})) == sorted(
+                    map(str, {(None, texts[0][1]), (1, None), (2, ""), (3, "one two three four"), (4, "x y\n\n")})
+                )
+
+
 def test_crc_of_ids(spark):
     import zlib
 
