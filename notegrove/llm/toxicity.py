@@ -59,18 +59,18 @@ def _sigmoid(z):
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Penalised logistic regression by accelerated gradient steps; the last column of x is constant and free."""
-    total = weight.sum()
-    weight, y = weight.astype(np.float32), y.astype(np.float32)
-    penalty = np.full(x.shape[1], PENALTY / total, np.float32)
+    """Penalised logistic regressions by accelerated gradient steps, one for each column of weight (rows that a regression
+    leaves out weigh 0), so that all read x together; the last column of x is constant and free."""
+    weight, y, total = weight.astype(np.float32), y.astype(np.float32)[:, None], weight.sum(axis=0).astype(np.float32)
+    penalty = np.repeat(PENALTY / total[None, :], x.shape[1], axis=0).astype(np.float32)
     penalty[-1] = 0.0
-    steepest = np.ones(x.shape[1], np.float32)
+    steepest = np.ones((x.shape[1], len(total)), np.float32)
     for _ in range(15):  # power iteration for the largest curvature
         steepest = x.T @ (weight * (x @ steepest)) / total
-        curvature = np.linalg.norm(steepest)
+        curvature = np.linalg.norm(steepest, axis=0)
         steepest /= curvature
-    step = np.float32(1 / (0.3 * curvature + PENALTY / total))
-    w = v = np.zeros(x.shape[1], np.float32)
+    step = (1 / (0.3 * curvature + PENALTY / total)).astype(np.float32)
+    w = v = np.zeros((x.shape[1], len(total)), np.float32)
     for k in range(STEPS):
         slope = x.T @ (weight * (_sigmoid(x @ v) - y)) / total + penalty * v
         after = v - step * slope
@@ -105,13 +105,12 @@ class Chain:
         before, models = np.zeros((len(rows), 0), np.float32), []
         one = np.ones((len(rows), 1), np.float32)
         for category, y in zip(CATEGORIES, goals, strict=True):
-            shown = np.array([s not in defining(category) for s in vocabulary], bool)
+            hidden = defining(category)
+            shown = np.array([s not in hidden for s in vocabulary], bool)
             full = np.hstack([x * shown, before, one])
-            apart = np.zeros(len(rows), np.float32)
-            for k in range(FOLDS):
-                out = fold == k
-                apart[out] = _sigmoid(full[out] @ _fit_linear(full[~out], y[~out], weight[~out]))
-            models.append(_fit_linear(full, y, weight))
+            fits = _fit_linear(full, y, weight[:, None] * np.column_stack([*(fold != k for k in range(FOLDS)), np.ones(len(rows))]))
+            apart = _sigmoid(np.einsum("ij,ij->i", full, fits.T[fold]))  # by the fit that left the row out
+            models.append(fits[:, -1].copy())
             before = np.hstack([before, apart[:, None]])
         return cls(vocabulary, models)
 
