@@ -73,11 +73,18 @@ def topic_page(t: dict[str, DataFrame], notes: DataFrame, topic: str) -> tuple[s
     """File name and body of a topic's map. The page lists the topic's notes, so it is as long as they are many."""
     name = notes.sparkSession.createDataFrame([(topic,)], "t string").select(topic_title(F.col("t")).alias("n")).head()["n"]
     rows = notes.filter(in_topic(topic)).orderBy(F.desc("pagerank"), "title").collect()
-    body = ["## Overview", "", f"{len(rows)} notes on #{topic}.", "", "## Hubs", ""]
-    body += [f"- [[{r['title']}]] ({r['pagerank']:.3f})" for r in rows[:TOPIC_HUBS]] + ["", "## Taxonomy", "", *_taxonomy_lines(rows)]
-    body += ["## Notes", "", *(f"- [[{r['title']}]]" for r in sorted(rows, key=lambda r: r["title"])), "", "## Connections", ""]
-    body += [f"- [[{r['target_note']}]] ({r['n']})" for r in connections(t, notes, topic).collect()]
-    return f"MOC - {name}.md", "\n".join([f"# MOC - {name}", "", *body, ""])
+    body = ["## Topic Overview", "", f"- **Topic**: `{topic}`", f"- **Total Notes**: {len(rows)}", "- **Ordering**: Hub Centrality (PageRank descending)", ""]
+    if rows:
+        hubs = (f"- [[{r['title']}]] · Hub Score: {r['pagerank']:.2f} (In: {r['in_degree']}, Out: {r['out_degree']})" for r in rows[:TOPIC_HUBS])
+        body += ["### Key Hub Notes & Core Concepts", "", *hubs, ""]
+    if any(r["tags"] for r in rows):
+        body += ["### Taxonomy Breakdown", "", *_taxonomy_lines([r for r in rows if r["tags"]])]
+    every = [f"- [[{r['title']}]] · Hub: {r['pagerank']:.2f}" for r in rows] or ["_No notes currently categorized under this topic._"]
+    body += ["### Note Index", "", *every, ""]
+    if away := connections(t, notes, topic).collect():
+        body += ["### Connected Vault Concepts", "", "Outgoing references connecting this topic to broader knowledge:", ""]
+        body += [*(f"- [[{r['target_note']}]] ({r['n']} references)" for r in away), ""]
+    return f"MOC - {name}.md", "\n".join(body)
 
 
 def index_page(t: dict[str, DataFrame], g: graph.Graph, notes: DataFrame) -> str:

@@ -221,7 +221,11 @@ def test_rag(spark):
     notes = {"A.md": "[[B]] [[C]]", "B.md": "[[D]]", "C.md": "[[D]]", "D.md": "end"}
     e = VaultEngine(spark, spark.createDataFrame([*notes.items()], "path string, content string"))
     out = e.graph_rag(["A", "D"])
-    assert "Connective Paths" in out["markdown"] and out["paths"][0]["titles"] in (["A", "B", "D"], ["A", "C", "D"])
+    page = out["markdown"]
+    assert "## Connective Reasoning Paths\n1. `[[A]] --[wikilink]--> [[B]] --[wikilink]--> [[D]]`" in page and "- **Seed Concepts**: [[A]], [[D]]\n- **Steiner Bridge Concepts**: [[B]]\n- **Steiner Tree Weight**: 2.00\n" in page
+    assert "### [[D]]\n- **File**: `D.md`\n- **Centrality (PageRank)**: " in page and "```markdown\nend\n```" in page
+    assert rag.to_markdown(["A"], [], {"nodes": [], "edges": [], "cost": 0.0}, []).count("*No multi-hop") == 1
+    assert out["paths"][0]["titles"] in (["A", "B", "D"], ["A", "C", "D"])
     assert out["tree"]["nodes"] == ["A.md", "B.md", "D.md"] and out["tree"]["cost"] == pytest.approx(2.0)
     g = rag.build(e.tables)
     assert rag.simple_paths(g, "A.md", "D.md", 3, 10).count() == 2
@@ -271,6 +275,8 @@ def test_synthesis(engine, tmp_path):
     assert once.startswith("mine") and synthesis.merged(once, "made") == once and "new" in synthesis.merged(once, "new")
     pages = engine.moc(root=str(tmp_path))
     assert {"MOC - AI.md", "MOC - CS.md", "Index.md", "Orphans.md"} <= pages.keys()
+    topic = pages["MOC - AI.md"]
+    assert "- **Topic**: `ai`\n- **Total Notes**: " in topic and "(In: " in topic and "### Note Index" in topic
     assert "#ai/ml" in (tmp_path / "MOC - AI.md").read_text() and "[[Lone]]" in pages["Orphans.md"]
     members = engine.tables["tags"].join(engine.tables["documents"], "doc_id").select("tag", "title")
     assert rows(synthesis.taxonomy(members), "node", "n_notes", "is_leaf")[:2] == [("ai", 0, False), ("ai/ml", 2, True)]
