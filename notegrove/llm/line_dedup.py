@@ -31,8 +31,8 @@ COUNTER_BITS = 20
 LONG = 4096
 #: Words that one list can ask for; similar sets that aren't equal share LEAST_WORDS at least.
 MOST_KEYS = LEAST_WORDS
-#: Records that a task gathers before it sends them.
-GATHERED = 200_000
+#: Records that a task gathers before it sends them: a few megabytes, which the JVM holds outside its heap.
+GATHERED = 50_000
 
 _CLASS = ["<u8", "<u8", "<i8", "<i4", "<i4", "<u8", "<u8"]  # two halves of the set's hash, doc, line, n, two halves of the parity
 _MEMBER = ["<i4", "<i4", "<i4", "<i8", "<u8", "<u8"]  # n, place, line, doc, two halves of the parity
