@@ -113,25 +113,71 @@ def summed(df: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 class Marks:
-    """A set of 64-bit hashes in a bitmap of a fixed size: it never denies a member, and admits others the more, the fuller it
-    is. It spares a shuffle the rows that can't have a partner; what passes is joined exactly."""
+    """A set of 64-bit hashes in a bitmap: it never denies a member, and admits others the more, the fuller it is. It has LEAST
+    bits for each hash, so it is no fuller for a large corpus, up to MOST bits. It spares a shuffle the rows that can't have a
+    partner; what passes is joined exactly."""
 
     BITS = 1 << 22
+    LEAST = 16
+    MOST = 1 << 28
+    #: Bits of a bitmap in one row.
+    SLICE = 1 << 17
+    #: Hashes that a task gathers before it sends them.
+    GATHERED = 1 << 20
 
-    def __init__(self, counts: np.ndarray):
-        self._bits = np.packbits(counts > 0, bitorder="little")
+    def __init__(self, bits: np.ndarray):
+        """bits: packed, the lowest first."""
+        self._bits, self._size = bits, np.uint64(8 * len(bits))
 
     @classmethod
-    def of(cls, df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> Marks:
-        return cls(summed(df, lambda batches: (cls.entries(hashes(batch)) for batch in batches), cls.BITS))
+    def size(cls, n: int) -> int:
+        """Bits for n hashes: a power of two."""
+        return min(cls.MOST, max(cls.BITS, 1 << (cls.LEAST * n - 1).bit_length()))
 
     @classmethod
-    def entries(cls, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.unique(hashes % np.uint64(cls.BITS)).astype(np.int64)
-        return at, np.ones(len(at), np.int64)
+    def of(cls, df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], each: int = 1) -> Marks:
+        """hashes: those of a batch, of which a row has `each`."""
+        return cls.over(df, lambda batches: map(hashes, batches), each * df.count())
+
+    @classmethod
+    def over(cls, df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], n: int) -> Marks:
+        """The hashes, of which there are n, that the tasks find. Other tasks put them together before the driver gets the bits."""
+        size = cls.size(n)
+        slices = max(1, size // cls.SLICE)
+
+        def sent(held):
+            at = np.unique(np.concatenate(held) % np.uint64(size)).astype(np.int64)
+            return dealt(at // cls.SLICE, [(at % cls.SLICE).astype("<u4")])
+
+        def run(batches):
+            held, waiting = [], 0
+            for found in hashes(batches):
+                held.append(found)
+                waiting += len(found)
+                if waiting >= cls.GATHERED:
+                    yield sent(held)
+                    held, waiting = [], 0
+            if held:
+                yield sent(held)
+
+        def add(batches):
+            whole: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    bits = whole.setdefault(part, np.zeros(cls.SLICE // 8, np.uint8))
+                    own = np.zeros(cls.SLICE, bool)
+                    own[np.frombuffer(payload, "<u4")] = True
+                    bits |= np.packbits(own, bitorder="little")
+            yield batch_of(list(whole), [x.tobytes() for x in whole.values()])
+
+        parts = df.mapInArrow(run, DEALT).repartitionById(min(slices, partitions(df.sparkSession)), "part").mapInArrow(add, DEALT)
+        out = np.zeros(slices * cls.SLICE // 8, np.uint8)
+        for row in parts.collect():
+            out[row["part"] * cls.SLICE // 8 :][: cls.SLICE // 8] = np.frombuffer(row["payload"], np.uint8)
+        return cls(out[: size // 8])
 
     def admits(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes % np.uint64(self.BITS)
+        at = hashes % self._size
         return (self._bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 

@@ -26,9 +26,12 @@ PERCENT = 80
 #: Smaller sets are similar to equal ones only: one word more or less is too much.
 LEAST_WORDS = PERCENT // (100 - PERCENT)
 #: Entries of the table of word counts, by the leading bits of a word's hash.
-COUNTER_BITS = 20
+COUNTER_BITS = 22
 #: Members a list may be expected to have. Where a word's list would be longer, sets are listed under more words.
 LONG = 4096
+#: Lines from which on lists may be longer, by the square root of the lines: were they not, more and more words would be too
+#: frequent for a list, and the lists that a set is in would multiply.
+MANY_LINES = 1 << 21
 #: Words that one list can ask for; similar sets that aren't equal share LEAST_WORDS at least.
 MOST_KEYS = LEAST_WORDS
 #: Records that a task gathers before it sends them: a few megabytes, which the JVM holds outside its heap.
@@ -46,7 +49,7 @@ def prefix_sizes(n: np.ndarray) -> np.ndarray:
 
 class Rarity:
     """A rank for each word by how often it occurs in lines: exact counts of all words with the same leading bits of the hash,
-    on a scale of eighths of a power of two. 1 MB, whatever the corpus."""
+    on a scale of eighths of a power of two. 4 MB, whatever the corpus."""
 
     def __init__(self, counts: np.ndarray, n_lines: int):
         self.ranks = np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
@@ -70,6 +73,10 @@ class Rarity:
         counts = summed(docs, entries, size + 1)
         return cls(counts[:size], int(counts[size]))
 
+    def longest(self, long: int) -> int:
+        """Members a list may be expected to have, where it is `long` in a small corpus."""
+        return int(long * max(1, self.n_lines / MANY_LINES) ** 0.5)
+
     def rank(self, keys: np.ndarray) -> np.ndarray:
         """keys: the leading 32 bits of the words' hashes."""
         return self.ranks[keys >> np.uint32(32 - COUNTER_BITS)]
@@ -194,14 +201,14 @@ def listed(n: np.ndarray, starts: np.ndarray, words: np.ndarray, rarity: Rarity,
     return own, key, first
 
 
-def _posts(batches, rarity: Rarity, long: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Key and member columns of the classes in each of their lists."""
+def _posts(batches, rarity: Rarity, long: int, late: Marks | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Key and member columns of the classes in each of their lists; with late, of those that it admits."""
     for payload in payloads(batches):
         columns, words = unragged([payload], _CLASS, "<u4")
         doc, line, n, *parity = columns[2:]
         n = n.astype(np.int64)
         sizes = _kept_words(n)
-        starts, rows = np.cumsum(sizes) - sizes, np.flatnonzero(n >= LEAST_WORDS)
+        starts, rows = np.cumsum(sizes) - sizes, np.flatnonzero((n >= LEAST_WORDS) & (True if late is None else late.admits(mixed(doc, line))))
         for k in range(0, len(rows), GATHERED // 8):
             part = rows[k : k + GATHERED // 8]
             own, key, place = listed(n[part], starts[part], words, rarity, long)
@@ -214,7 +221,7 @@ class Lists:
 
     def __init__(self, classes: DataFrame, rarity: Rarity, long: int):
         self.packed = classes.filter("payload is not null").select(F.lit(0).alias("part"), "payload")
-        self.rarity, self.long, self.n_parts = rarity, long, partitions(classes.sparkSession)
+        self.rarity, self.long, self.n_parts = rarity, rarity.longest(long), partitions(classes.sparkSession)
 
     def likeliest(self) -> DataFrame:
         """For each class that has a partner before it by all filters, the likeliest: doc, line, late_doc, late_line, and more
@@ -242,12 +249,15 @@ class Lists:
         pairs, of which there may be far more. Those lists of those members are then compared on whole sets."""
         rarity, n_parts, long = self.rarity, self.n_parts, self.long
 
+        def count(batches):
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(key) for key, *_ in _posts(batches, rarity, long, late))]})
+
         def keys(batches):
-            for key, n, _, line, doc, *_ in _posts(batches, rarity, long):
-                few = late.admits(mixed(doc, line))
-                yield Marks.entries(np.concatenate([mixed(key[few], _band(n[few]) + k) for k in (-1, 0, 1)]))
+            for key, n, *_ in _posts(batches, rarity, long, late):
+                yield np.concatenate([mixed(key, _band(n) + k) for k in (-1, 0, 1)])
 
-        wanted = Marks(summed(self.packed, keys, Marks.BITS))
+        posts = self.packed.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        wanted = Marks.over(self.packed, keys, 3 * posts)
 
         def sent(batches):
             for key, *member in _posts(batches, rarity, long):
@@ -265,7 +275,7 @@ class Lists:
             key, doc, line = (c.to_numpy() for c in batch.columns)
             return np.concatenate([mixed(key, doc, line), mixed(doc, line), mixed(doc)])
 
-        members = Marks.of(near.select("list", "doc", "line"), hashes)
+        members = Marks.of(near.select("list", "doc", "line"), hashes, 3)
 
         def whole(batches):
             for number, doc, n, start, h in _marked_sets(batches, members, rarity):
@@ -456,7 +466,7 @@ def _marked_sets(batches, marks: Marks, rarity: Rarity | None) -> Iterator[tuple
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """late_doc and late_line of the pairs whose word sets are similar, counted on the words of the whole lines."""
     places = pairs.select("doc", "line").unionByName(pairs.selectExpr("late_doc as doc", "late_line as line"))
-    marks = Marks.of(places, lambda batch: np.append(mixed(batch.column(0).to_numpy()), mixed(*(c.to_numpy() for c in batch.columns))))
+    marks = Marks.of(places, lambda batch: np.append(mixed(batch.column(0).to_numpy()), mixed(*(c.to_numpy() for c in batch.columns))), 2)
 
     def run(batches):
         for number, doc, _, start, h in _marked_sets(batches, marks, None):

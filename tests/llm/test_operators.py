@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notegrove.llm import _words, bpe, decontamination, line_dedup, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from notegrove.llm import _packed, _words, bpe, decontamination, line_dedup, near_dedup, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 RANKS, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -267,6 +267,30 @@ def test_line_dedup_tries_every_partner(spark):
     assert {r["doc_id"]: r["removed"] for r in line_dedup.removals(df).collect()} == brute_lines(texts)
 
 
+def test_marks_are_no_fuller_for_more_hashes(spark):
+    marks = _packed.Marks.of(spark.range(2_000_000), lambda batch: _packed.mixed(batch.column(0).to_numpy()))
+    assert marks.admits(_packed.mixed(np.arange(2_000_000))).all()
+    assert marks.admits(_packed.mixed(np.arange(2_000_000, 2_100_000))).mean() < 0.1
+    none = _packed.Marks.of(spark.range(0), lambda batch: _packed.mixed(batch.column(0).to_numpy()))
+    assert not none.admits(_packed.mixed(np.arange(1000))).any()
+
+
+def test_line_dedup_lists_of_a_set_do_not_multiply_with_the_corpus():
+    """Sets of 40 words that are in 300 to 30,000 lines, and in twelve times as many of a corpus twelve times as large."""
+    rng = np.random.default_rng(7)
+    counts = (300 * 100 ** rng.random(1 << line_dedup.COUNTER_BITS)).astype(np.int64)
+    keys = rng.integers(0, 1 << 32, (200, 40), np.uint32)
+    own = counts[keys >> np.uint32(32 - line_dedup.COUNTER_BITS)]
+    keys = np.take_along_axis(keys, np.argsort(own, axis=1), 1).ravel()
+    n = np.full(200, 40)
+    lists = []
+    for times in (1, 12):
+        rarity = line_dedup.Rarity(times * counts, times * line_dedup.MANY_LINES)
+        lists.append(len(line_dedup.listed(n, np.arange(200) * 40, keys, rarity, rarity.longest(line_dedup.LONG))[0]))
+    assert lists[1] < 1.3 * lists[0]
+    assert len(line_dedup.listed(n, np.arange(200) * 40, keys, rarity, line_dedup.LONG)[0]) > 2 * lists[0]
+
+
 def test_line_dedup_with_null_ids_and_repeated_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "c b a\nnew"), (2, "c b a\nnew"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
