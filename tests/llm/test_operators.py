@@ -515,6 +515,17 @@ def test_pipeline(spark):
     assert sorted(r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["ids_sha256"] for r in docs.collect())
 
 
+def test_pipeline_drops_the_same_lines_of_a_large_corpus(spark, monkeypatch):
+    """With the bounds that a corpus of very many lines has, and bitmaps sized by their hashes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lost = brute_lines(texts)
+    monkeypatch.setattr(line_dedup, "MANY_LINES", 20)
+    monkeypatch.setattr(_packed.Marks, "BITS", 1 << 10)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost.get(i, ())) if t else t for i, t in texts.items()}
+
+
 def test_pipeline_stages_with_odd_rows(spark):
     """Nulls in any column, empty texts, repeated rows and clashing names: rows that no stage has a reason to drop stay."""
     texts = [(None, "a plain text about cats"), (1, None), (2, ""), (3, "one two three four\nfour three two one"), (3, "one two three four\nfour three two one"), (4, "x y\n\n")]
