@@ -315,6 +315,9 @@ _ARROW = pa.schema(
 )
 #: Comparisons at a time.
 COMPARED = 1 << 20
+#: Partners that pass all filters, from which on a list isn't searched for more of a place: the likeliest is verified, and where
+#: it fails, all lists of the place are searched for all partners. A group of similar lines has a pair for any two of them.
+ENOUGH = 32
 
 
 def _band(n: np.ndarray) -> np.ndarray:
@@ -360,25 +363,16 @@ class Members:
         shared = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
-    def pairs(self, i: np.ndarray, j: np.ndarray, late: Marks | None, key: np.ndarray) -> pa.RecordBatch:
-        """Of pairs of rows, for each later place its likeliest partner, and whether there are others. With late, of the pairs whose
-        later place it admits: all members, with their list's key; or, where whole sets are there, a partner that is similar."""
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        """Of pairs of rows, the later place second, for each later place its likeliest partner, and whether there are others;
+        where whole sets are there, a partner that is similar."""
         doc, line = self.doc, self.line
-        swap = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (line[i] > line[j])
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        if late is not None:
-            few = late.admits(mixed(doc[j], line[j]))
-            i, j = i[few], j[few]
-        if late is not None and self.sets is None:
-            rows = np.unique(np.append(i, j))
-            columns = {"doc": doc[rows], "line": line[rows], "list": key[rows].astype(np.int64)}
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in _ARROW], schema=_ARROW)
         spare = self.spare(i, j)
         order = np.lexsort((line[i], doc[i], -spare, line[j], doc[j]))
         i, j, spare = i[order], j[order], spare[order]
         start = np.flatnonzero(np.append(True, (doc[j[1:]] != doc[j[:-1]]) | (line[j[1:]] != line[j[:-1]]))[: len(j)])
         ends = np.append(start[1:], len(j))[: len(start)]
-        if late is not None:
+        if self.sets is not None:
             found = (next((k for k in range(a, b) if self.similar(i[k], j[k])), None) for a, b in zip(start, ends, strict=True))
             start = ends = np.array([k for k in found if k is not None], np.int64)
         others = pa.array(ends - start > 1)
@@ -387,6 +381,56 @@ class Members:
         return pa.RecordBatch.from_arrays([*columns, others, pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], schema=_ARROW)
 
 
+class Search:
+    """What the comparison of members finds: for later places their likeliest partner. With late, of the later places that it
+    admits: all members of their pairs, with the list's key; or, where whole sets are there, a partner that is similar. So a
+    task finds no more rows than it has members, or ENOUGH times as many, however many pairs there are."""
+
+    def __init__(self, key: np.ndarray, members: Members, late: Marks | None):
+        self.key, self.members, self.names = key, members, late is not None and members.sets is None
+        places = np.lexsort((members.line, members.doc))
+        doc, line = members.doc[places], members.line[places]
+        self.rank = np.empty(len(places), np.int64)
+        self.rank[places] = np.cumsum((doc != np.roll(doc, 1)) | (line != np.roll(line, 1)))
+        self.open = np.ones(len(places), bool) if late is None else late.admits(mixed(members.doc, members.line))
+        self.found = np.zeros(len(places), np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Compare pairs of rows."""
+        swap = self.rank[i] > self.rank[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        few = self.open[j] & (self.rank[i] != self.rank[j])
+        i, j = self.members.alike(i[few], j[few])
+        if self.names:
+            self.found[i] = self.found[j] = 1
+            return
+        if self.members.sets is None:
+            np.add.at(self.found, j, 1)
+            self.open[j[self.found[j] >= ENOUGH]] = False
+        self.held.append((i, j))
+        self.waiting += len(i)
+        if self.waiting >= COMPARED:
+            yield self._sent()
+
+    def _sent(self) -> pa.RecordBatch:
+        out = self.members.pairs(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+        if self.members.sets is not None:  # one similar partner is enough
+            gone = mixed(out.column("late_doc").to_numpy(), out.column("late_line").to_numpy())
+            self.open &= ~np.isin(mixed(self.members.doc, self.members.line), gone)
+        self.held, self.waiting = [], 0
+        return out
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.names:
+            rows = np.flatnonzero(self.found)
+            columns = {"doc": self.members.doc[rows], "line": self.members.line[rows], "list": self.key[rows].astype(np.int64)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in _ARROW], schema=_ARROW)
+        elif self.held:
+            yield self._sent()
+
+
 def _compared(key: np.ndarray, members: Members, late: Marks | None, long: int) -> Iterator[pa.RecordBatch]:
     """The pairs within each list. A list of more than `long` members is handed on in chunks, which other tasks compare two by two."""
     order = np.argsort(key.astype(np.uint64) << np.uint64(32) | members.n.astype(np.uint64))
@@ -399,17 +443,14 @@ def _compared(key: np.ndarray, members: Members, late: Marks | None, long: int)
             row = {"apart": [0], "doc": [0], "line": [0], "late_doc": [0], "late_line": [0], "others": [None], "list": [int(key[a])], "chunk": [k], "payload": [blob]}
             yield pa.RecordBatch.from_pydict(row, _ARROW)
     # each member against the one k places on, while a set that large can be similar
-    i, end, n = np.flatnonzero(np.repeat(sizes <= long, sizes)), np.repeat(starts + sizes, sizes), members.n
-    left, right, k, waiting = [], [], 1, 0
+    i, end, n, k = np.flatnonzero(np.repeat(sizes <= long, sizes)), np.repeat(starts + sizes, sizes), members.n, 1
+    search = Search(key, members, late)
     while len(i):
         i = i[i + k < end[i]]
         i = i[100 * n[i] >= PERCENT * n[i + k]]
-        a, b = members.alike(i, i + k)
-        left.append(a), right.append(b)
-        k, waiting = k + 1, waiting + len(a)
-        if waiting >= COMPARED or not len(i):
-            yield members.pairs(np.concatenate(left), np.concatenate(right), late, key)
-            left, right, waiting = [], [], 0
+        yield from search.add(i, i + k)
+        k += 1
+    yield from search.end()
 
 
 def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
@@ -436,11 +477,13 @@ def _across(chunks: DataFrame, late: Marks | None) -> DataFrame:
         left = np.arange(half)
         right = np.arange(half, len(members.n)) if len(held) > 1 else left
         step = max(1, COMPARED // max(1, len(right)))
+        search = Search(np.full(len(members.n), key), members, late)
         for a in range(0, half, step):
             i, j = (x.ravel() for x in np.meshgrid(left[a : a + step], right, indexing="ij"))
             good = 100 * np.minimum(members.n[i], members.n[j]) >= PERCENT * np.maximum(members.n[i], members.n[j])
             good &= (i < j) if right is left else True
-            yield members.pairs(*members.alike(i[good], j[good]), late, np.full(len(members.n), key))
+            yield from search.add(i[good], j[good])
+        yield from search.end()
 
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PAIRS)
 

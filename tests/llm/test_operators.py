@@ -291,6 +291,27 @@ def test_line_dedup_lists_of_a_set_do_not_multiply_with_the_corpus():
     assert len(line_dedup.listed(n, np.arange(200) * 40, keys, rarity, line_dedup.LONG)[0]) > 2 * lists[0]
 
 
+def test_line_dedup_finds_no_more_rows_for_more_pairs(monkeypatch):
+    """A list of similar lines has a pair for any two of them; what it finds must grow with its members only."""
+    monkeypatch.setattr(line_dedup, "COMPARED", 500)
+    rng, size = np.random.default_rng(1), 600
+    sets = [np.unique(np.append(np.arange(1, 41) * 7919, rng.integers(10**6, 10**9, rng.choice([0, 1, 3, 9])))).astype(np.uint64) for _ in range(size)]
+    n, h = np.array([len(x) for x in sets]), np.concatenate(sets)
+    columns = [n, np.zeros(size, int), np.arange(size) % 3, np.arange(size) // 3, *line_dedup._hashes_of(h, np.cumsum(n) - n)[2:]]
+    plain, whole, every = line_dedup.Members(columns), line_dedup.Members(columns, h), _packed.Marks(np.full(64, 255, np.uint8))
+    i, j = np.triu_indices(size, 1)
+    a, b = plain.alike(i, j)
+    same = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    close = b[100 * same >= line_dedup.PERCENT * (n[a] + n[b] - same)]
+    assert len(a) > 100 * size
+    modes = [(plain, None, "late_doc", "late_line", b, line_dedup.ENOUGH), (plain, every, "doc", "line", np.append(a, b), 1), (whole, every, "late_doc", "late_line", close, 1)]
+    for members, late, doc, line, expected, most in modes:
+        out = pa.Table.from_batches(list(line_dedup._compared(np.full(size, 7, np.uint32), members, late, size)))
+        places = np.array(out[doc]) * 3 + np.array(out[line])
+        assert set(places) == set(expected)
+        assert len(places) <= most * size
+
+
 def test_line_dedup_with_null_ids_and_repeated_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "c b a\nnew"), (2, "c b a\nnew"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
