@@ -7,25 +7,15 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import released
+from ..storage import released, small_batches
 from ..storage import settled as written
 
 __all__ = ["BEYOND_LATIN", "LATIN_END", "LETTER", "NUMBER", "SPACE", "released", "small_batches", "table", "written"]
 
-#: Rows and bytes of one Arrow batch: long texts must not add up in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds for the Python stages planned afterwards in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 #: Up to this code point the Unicode classes below are the same in every library used here.
 LATIN_END = 0x180
 

@@ -475,3 +475,33 @@ def test_walks_draw_by_weight(spark):
     out = [v for u, v in steps if u == "a"]
     assert {*steps} <= {(r["u"], r["v"]) for r in both.collect()}
     assert all(abs(out.count(v) / len(out) - w / 4.5) < 0.06 for u, v, w in links if u == "a")
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_front_matter_needs_no_yaml(monkeypatch):
+    monkeypatch.setattr(markdown.yaml, "load", lambda *a: pytest.fail("parsed as YAML"))
+    r = markdown.parse_note("a.md", "---\ntitle: A b\naliases: [P1]\ntags: [x, y/z]\n---\nText")
+    assert (r["title"], r["aliases"], [t["tag"] for t in r["tags"]]) == ("A b", ["P1"], ["x", "y/z"])
+    monkeypatch.undo()
+    r = markdown.parse_note("a.md", "---\ntitle: yes\ntags: [on, x]\n---\nText")
+    assert (r["title"], [t["tag"] for t in r["tags"]]) == ("true", ["true", "x"])
+
+
+def test_demo_vault_deals_out_numbers(spark):
+    dealt = plan(vault.demo(spark, "/root/testdata/sf0.001"))
+    assert "RepartitionByExpression [p_partkey" in dealt and "collect_list(line" in dealt
+
+
+def test_records_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(markdown, "BATCH_CHARS", 1000)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    import pyarrow as pa
+
+    empty = markdown.parse(spark.createDataFrame([], "path string, content string"))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k}.md" for k in range(20)]), pa.array(["[[x]] " * 60, None] * 10)], names=["path", "content"])
+    found = [*markdown.records([batch], to_arrow_schema(empty.schema))]
+    assert sum(b.num_rows for b in found) == 20 and max(b.num_rows for b in found) <= 6
+    assert [len(x) for b in found for x in b.column("links").to_pylist()] == [60, 0] * 10
