@@ -495,6 +495,27 @@ def test_demo_vault_deals_out_numbers(spark):
     assert "RepartitionByExpression [p_partkey" in dealt and "collect_list(line" in dealt
 
 
+def test_links_are_dealt_out_once(spark):
+    notes = {"A.md": "[[b]] [[sub/c]] [[C]]", "sub/A.md": "[[b]] [[c]] [[B t]] [[no]]", "sub/c.md": "x", "B.md": "# B t\n", "sub/b.md": "x"}
+    t = VaultEngine(spark, spark.createDataFrame([*notes.items()], "path string, content string")).tables
+    found = graph.resolved(t["links"], t["documents"])
+    assert "Aggregate [source_doc_id" not in plan(found) and found.columns == [*t["links"].columns, "doc"]
+    root = [("A.md", "C", "sub/c.md"), ("A.md", "b", "B.md"), ("A.md", "sub/c", "sub/c.md")]
+    assert rows(found, "source_doc_id", "target_note", "doc")[:3] == root
+    assert {r["target_note"]: r["doc"] for r in found.filter("source_doc_id = 'sub/A.md'").collect()} == {"b": "B.md", "c": "sub/c.md", "B t": "B.md", "no": None}
+
+
+def test_written_graphs_stay_where_they_are(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("b", "a", 2.0), ("c", "c", 1.0)], "src string, dst string, weight double")
+    vertices = spark.createDataFrame([(x, x) for x in "abc"], "id string, title string")
+    names, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, name: names.append(name) or settled(df, name))
+    g = graph.Graph(vertices, e, True)
+    assert graph.shortest_path(g, "a", "c") == ["a", "b", "c"] and "path-edges" not in names
+    assert rows(graph.hops_from(g, "a", 2), "id", "hops") == [("a", 0), ("b", 1), ("c", 2)]
+    assert "Union" not in plan(graph.adjacency(g)) and rows(graph.adjacency(g), "u", "v", "weight") == [("a", "b", 3.0), ("b", "a", 3.0), ("b", "c", 1.0), ("c", "b", 1.0)]
+
+
 def test_records_come_in_bounded_batches(spark, monkeypatch):
     monkeypatch.setattr(markdown, "BATCH_CHARS", 1000)
     from pyspark.sql.pandas.types import to_arrow_schema
