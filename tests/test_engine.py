@@ -526,3 +526,23 @@ def test_records_come_in_bounded_batches(spark, monkeypatch):
     found = [*markdown.records([batch], to_arrow_schema(empty.schema))]
     assert sum(b.num_rows for b in found) == 20 and max(b.num_rows for b in found) <= 6
     assert [len(x) for b in found for x in b.column("links").to_pylist()] == [60, 0] * 10
+
+
+def test_pagerank_rounds_leave_nothing_behind(spark, monkeypatch):
+    links = [("a", "b"), ("a", "x"), ("a", "x"), ("b", "a"), ("b", "c"), ("c", "y"), ("c", "c"), ("z", "a")]
+    vertices = spark.createDataFrame([(x,) for x in "abcxyzw"], "id string")
+    written, gone, settled, released = [], [], graph.settled, graph.released
+    monkeypatch.setattr(graph, "settled", lambda df, name: written.append(settled(df, name)) or written[-1])
+    monkeypatch.setattr(graph, "released", lambda *t: gone.extend(t) or released(*t))
+    g = graph.Graph(vertices, spark.createDataFrame(links, "src string, dst string"), True)
+    got = {r["id"]: r["raw"] for r in graph.pagerank(g, 4).collect()}
+    assert {x._stage_path for x in written} - {x._stage_path for x in gone} == {written[-1]._stage_path}
+    ids, n = "abcxyzw", 7
+    rank = dict.fromkeys(ids, 1 / n)
+    out = {x: sum(a == x for a, _ in links) for x in ids}
+    for _ in range(4):
+        new = dict.fromkeys(ids, 0.15 / n + 0.85 * sum(rank[x] for x in ids if not out[x]) / n)
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    assert all(abs(got[x] - rank[x]) < 1e-12 for x in ids)
