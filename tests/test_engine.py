@@ -546,3 +546,15 @@ def test_pagerank_rounds_leave_nothing_behind(spark, monkeypatch):
             new[b] += 0.85 * rank[a] / out[a]
         rank = new
     assert all(abs(got[x] - rank[x]) < 1e-12 for x in ids)
+
+
+def test_exact_search_takes_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    v = vectors.random_vectors(spark, 2500, 4).repartition(1)
+    q = v.filter("vec_id % 900 = 0").withColumnRenamed("vec_id", "query_id")
+    got = vectors.top_k(v, q, 5)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
+    for i in (0, 900, 1800):
+        order = sorted(x, key=lambda k: (-float(x[k] @ x[i]), k))[:5]
+        assert [r["vec_id"] for r in got.filter(F.col("query_id") == i).orderBy("rank").collect()] == order
